@@ -145,17 +145,19 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, na
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float],
-                limit: int | None = None) -> DataFrame:
+                extra: list[Column] | None = None, limit: int | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per key.
 
-    Small groups use the built-in exact percentile. For a hot group its value
-    map would not fit one task, so equal values are counted first and the rank
-    is a running sum of the counts over range-cut values.
+    `extra` are further aggregates of the same groups. Small groups use the
+    built-in exact percentile, in the same pass. For a hot group its value map
+    would not fit one task, so equal values are counted first and the rank is a
+    running sum of the counts over range-cut values.
     """
+    extra = extra or []
+    if not is_hot(df, keys, limit):
+        return df.groupBy(*keys).agg(
+            *extra, *[F.percentile(value, F.lit(p)).alias(name) for name, p in points.items()])
     rows = df.where(F.col(value).isNotNull())
-    if not is_hot(rows, keys, limit):
-        return rows.groupBy(*keys).agg(
-            *[F.percentile(value, F.lit(p)).alias(name) for name, p in points.items()])
     counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     ranked = running_sum(counted, keys, [value], "_n", "_upto", limit=limit)
     ranked = ranked.join(rows.groupBy(*keys).agg(F.count("*").alias("_total")), keys)
@@ -170,7 +172,10 @@ def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, fl
         pos = F.lit(p) * (F.col("_total") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo + (pos - F.floor(pos)) * (hi - lo)).alias(name))
-    return picked.select(*out)
+    picked = picked.select(*out)
+    if extra:
+        return df.groupBy(*keys).agg(*extra).join(picked, keys, "left")
+    return picked
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
