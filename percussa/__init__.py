@@ -1 +1,8 @@
 """Impulse-acoustics analytics expressed as Spark DataFrame operations."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Kernels travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

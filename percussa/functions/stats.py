@@ -12,7 +12,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
+
+def _lgamma(v):
+    flat, inverse = np.unique(v, return_inverse=True)
+    return np.array([math.lgamma(x) for x in flat])[inverse].reshape(np.shape(v))
 
 
 def _beta_fraction(a, b, x, steps: int = 400):
@@ -33,7 +36,7 @@ def _beta_fraction(a, b, x, steps: int = 400):
             c = np.where(np.abs(c) < tiny, tiny, c)
             delta = c * d
             h = h * delta
-        if np.all(np.abs(delta - 1) < 1e-15):
+        if np.all(np.abs(delta - 1) < 1e-14):
             break
     return h
 
@@ -43,7 +46,7 @@ def incomplete_beta(a, b, x):
     a, b, x = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, x)))
     inside = np.clip(x, 1e-300, 1 - 1e-16)
     front = np.exp(
-        (_LGAMMA(a + b) - _LGAMMA(a) - _LGAMMA(b)).astype(float)
+        _lgamma(a + b) - _lgamma(a) - _lgamma(b)
         + a * np.log(inside) + b * np.log1p(-inside)
     )
     swap = inside > (a + 1) / (a + b + 2)
@@ -62,19 +65,24 @@ def t_upper_tail(t, df):
 
 
 def t_quantile_upper(tail, df):
-    """t with P(T > t) = tail for tail <= 0.5, by bisection in t."""
+    """t with P(T > t) = tail for tail <= 0.5: bisection, then Newton steps."""
     tail, df = np.broadcast_arrays(np.asarray(tail, float), np.asarray(df, float))
     low, high = np.zeros(tail.shape), np.ones(tail.shape)
     for _ in range(200):
         short = t_upper_tail(high, df) > tail
         if not short.any():
             break
-        high = np.where(short, high * 2, high)
-    for _ in range(100):
+        low, high = np.where(short, high, low), np.where(short, high * 2, high)
+    for _ in range(14):
         mid = (low + high) / 2
         above = t_upper_tail(mid, df) > tail
         low, high = np.where(above, mid, low), np.where(above, high, mid)
-    return (low + high) / 2
+    t = (low + high) / 2
+    scale = _lgamma((df + 1) / 2) - _lgamma(df / 2) - 0.5 * np.log(df * np.pi)
+    for _ in range(5):
+        density = np.exp(scale - (df + 1) / 2 * np.log1p(t * t / df))
+        t = np.clip(t + (t_upper_tail(t, df) - tail) / density, low, high)
+    return t
 
 
 def _masked(fn, first: pd.Series, df: pd.Series) -> pd.Series:

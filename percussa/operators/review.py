@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from percussa.functions import levels as L
-from percussa.functions.stats import t_isf, t_quantile_upper
+from percussa.functions.stats import t_isf
 from percussa.operators.ordered import numbered, percentiles
+from percussa.session import checkpointed
 
 NORMAL_QUARTILE = 0.6745
 FAMILY_ALPHA = 0.05
@@ -49,14 +50,7 @@ def robust_spread_band(long: DataFrame, keys: list[str], value: str = "value",
     return c.withColumn("low", F.col("median") - half).withColumn("high", F.col("median") + half)
 
 
-def _critical(n, i, alpha):
-    """Rosner's critical value for step i of n."""
-    nu = n - i - 1
-    t = t_quantile_upper(alpha / (2.0 * (n - i + 1)), nu)
-    return (n - i) * t / np.sqrt((nu + t * t) * (n - i + 1))
-
-
-def _esd_walk(pdf: pd.DataFrame, keys: list[str], alpha: float) -> pd.DataFrame:
+def _esd_walk(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     """Remove extremes from both ends of one group's candidate values.
 
     Rows are distinct values with counts. Beyond the candidates no step can be
@@ -92,12 +86,16 @@ def _esd_walk(pdf: pd.DataFrame, keys: list[str], alpha: float) -> pd.DataFrame:
         m2 -= (x - mean) * (x - shifted)
         mean = shifted
     out = pd.DataFrame(removed, columns=["value", "_nth", "step", "esd_statistic"])
-    out["esd_critical"] = _critical(n, out["step"].to_numpy(float), alpha) if len(out) else []
-    over = out.loc[out["esd_statistic"] > out["esd_critical"], "step"]
-    out = out[out["step"] <= (over.max() if len(over) else 0)]
+    out["_n"] = n
     for k in keys:
         out[k] = pdf[k].iloc[0]
-    return out[[*keys, "value", "_nth", "step", "esd_statistic", "esd_critical"]]
+    return out[[*keys, "value", "_nth", "step", "esd_statistic", "_n"]]
+
+
+def esd_critical(n: Column, step: Column, t: Column) -> Column:
+    """Rosner's critical value of a step, from the quantile t."""
+    nu = n - step - 1
+    return (n - step) * t / F.sqrt((nu + t * t) * (n - step + 1))
 
 
 def generalised_esd(long: DataFrame, keys: list[str], order: str, alpha: float = FAMILY_ALPHA,
@@ -125,9 +123,8 @@ def generalised_esd(long: DataFrame, keys: list[str], order: str, alpha: float =
     bounds = cut.join(inner, keys)
     n = F.col("_n").cast("double")
     k = F.greatest(F.floor(n * MAX_FRACTION), F.lit(1))
-    nu = n - k - 1
-    bounds = bounds.withColumn("_t", t_isf(F.lit(alpha) / (2 * (n - k + 1)), nu))
-    lam = (n - k) * F.col("_t") / F.sqrt((nu + F.col("_t") * F.col("_t")) * (n - k + 1))
+    bounds = bounds.withColumn("_t", t_isf(F.lit(alpha) / (2 * (n - k + 1)), n - k - 1))
+    lam = esd_critical(n, k, F.col("_t"))
     # Groups so small that the middle is empty keep every value.
     room = lam * F.sqrt(F.col("_core") / (n - 1)) - (F.col("_above") - F.col("_below"))
     bounds = bounds.withColumn("_room", F.when(n < 30, F.lit(None)).otherwise(room))
@@ -143,9 +140,15 @@ def generalised_esd(long: DataFrame, keys: list[str], order: str, alpha: float =
     types = {f.name: f.dataType.simpleString() for f in long.schema.fields}
     schema = ", ".join(f"{c} {types[c]}" for c in keys)
     found = candidates.groupBy(*keys).applyInPandas(
-        lambda pdf: _esd_walk(pdf, keys, alpha),
-        schema + ", value double, _nth long, step long, esd_statistic double, esd_critical double")
-    found = found.withColumnRenamed("value", value)
+        lambda pdf: _esd_walk(pdf, keys),
+        schema + ", value double, _nth long, step long, esd_statistic double, _n long")
+    # Small by now, and used three times below.
+    found = checkpointed(found)
+    step = F.col("step").cast("double")
+    found = found.withColumn("_t", t_isf(F.lit(alpha) / (2 * (n - step + 1)), n - step - 1))
+    found = found.withColumn("esd_critical", esd_critical(n, step, F.col("_t"))).drop("_t", "_n")
+    last = found.where("esd_statistic > esd_critical").groupBy(*keys).agg(F.max("step").alias("_last"))
+    found = found.join(last, keys).where("step <= _last").drop("_last").withColumnRenamed("value", value)
     hit = rows.join(found.select(*keys, value).distinct(), [*keys, value], "left_semi")
     return numbered(hit, [*keys, value], [order], "_nth", limit).join(found, [*keys, value, "_nth"]).drop("_nth")
 
