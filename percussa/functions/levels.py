@@ -65,6 +65,15 @@ def spread(level) -> Column:
     return F.when(F.count(v) == 1, F.lit(0.0)).otherwise(F.stddev_samp(v))
 
 
+def let(value, body) -> Column:
+    """`body` of a value computed once.
+
+    An expression used inside a lambda is evaluated per element; bound as a
+    lambda variable it is evaluated once per row.
+    """
+    return F.transform(F.array(_col(value)), body)[0]
+
+
 def rms(samples) -> Column:
     """RMS of an array column."""
     return F.sqrt(sum_squares(samples) / F.size(_col(samples)))
@@ -81,5 +90,4 @@ def peak(samples) -> Column:
 
 def scaled(samples, factor) -> Column:
     """Array times a factor; full scale to Pa when the factor is Pa per FS."""
-    f = _col(factor)
-    return F.transform(_col(samples), lambda x: x * f)
+    return let(factor, lambda f: F.transform(_col(samples), lambda x: x * f))

@@ -82,11 +82,11 @@ SHOT_RECORDS_SQL = SHOTS_SQL + """, shot_records AS (
          event_id % 7 <> 0 AS rise_time_resolved
   FROM shots)"""
 
-WINDOW_FS = 48_000
+WINDOW_FS = 8_000
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per embedding: the samples of one shot window at 48 kHz.
+    """One row per embedding: the samples of one shot window at 8 kHz.
 
     recording_id is the label; even labels count as the unsuppressed set-up.
     """
@@ -102,7 +102,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 WINDOWS_SQL = """windows AS (
   SELECT label AS recording_id, vec_id AS shot_number,
          CASE WHEN vec_id % 2 = 0 THEN 'unsuppressed' ELSE 'suppressed' END AS configuration,
-         48000 AS fs, embedding::DOUBLE[] AS samples
+         8000 AS fs, embedding::DOUBLE[] AS samples
   FROM embeddings)"""
 
 SAMPLES_SQL = WINDOWS_SQL + """, samples AS (
