@@ -189,3 +189,68 @@ def stft_frames(x, fs, nperseg, noverlap, window="hann", scaling="rms"):
     value = np.sqrt(power) / w.sum() if scaling == "rms" else power / (fs * (w * w).sum())
     times = (np.arange(len(frames)) * hop + nperseg / 2) / fs
     return times, np.fft.rfftfreq(nperseg, 1 / fs), value
+
+
+def energy_bounds(x, capture=0.99):
+    """First and one-past-last sample of the span holding `capture` of each row's energy."""
+    running = np.cumsum(x * x, axis=-1)
+    total = running[:, -1:]
+    share = running / np.where(total > 1e-30, total, 1.0)
+    margin = (1 - capture) / 2
+    start = (share < margin).sum(axis=-1)
+    stop = np.minimum(x.shape[-1], np.maximum((share < 1 - margin).sum(axis=-1) + 1, start + 1))
+    silent = total[:, 0] <= 1e-30
+    return np.where(silent, 0, start), np.where(silent, x.shape[-1], stop)
+
+
+def blast_bounds(env, fs, down_dB=20.0, guard_ms=1.0):
+    """First and one-past-last sample within `down_dB` of the envelope peak, with a guard."""
+    n, top = env.shape[-1], env.max(axis=-1, keepdims=True)
+    near = (env >= top * 10 ** (-abs(down_dB) / 20)) | (top <= 1e-30)
+    guard = np.where(top[:, 0] > 1e-30, int(guard_ms * fs / 1000), 0)
+    first, last = near.argmax(axis=-1), n - 1 - near[:, ::-1].argmax(axis=-1)
+    return np.maximum(0, first - guard), np.minimum(n, last + guard + 1)
+
+
+def centroid(blast, fs):
+    """Power-weighted mean frequency at and above 20 Hz under a symmetric Hann window."""
+    n = len(blast)
+    if n < 4:
+        return 0.0
+    power = np.abs(np.fft.rfft(blast * np.hanning(n))) ** 2
+    f = np.fft.rfftfreq(n, 1 / fs)
+    power, f = power[f >= 20], f[f >= 20]
+    return float((power * f).sum() / power.sum()) if power.sum() >= 1e-30 else 0.0
+
+
+def local_maxima(x):
+    """Indices of maxima; a flat top counts once, at its middle."""
+    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    v = x[starts]
+    up = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
+    return (starts[up] + starts[up + 1] - 1) // 2
+
+
+def keep_apart(position, value, distance):
+    """Mask of the entries a loudest-first selection keeps; later wins a tie."""
+    keep = np.zeros(len(position), bool)
+    taken = []
+    for k in np.lexsort((position, value))[::-1]:
+        if all(abs(position[k] - p) >= distance for p in taken):
+            taken.append(position[k])
+            keep[k] = True
+    return keep
+
+
+def prominences(x, peaks):
+    """Height of each peak above the higher of the two lowest points that separate it from a higher one."""
+    out = np.empty(len(peaks))
+    for i, p in enumerate(peaks):
+        left, right = x[:p][::-1], x[p + 1:]
+        bases = []
+        for side in (left, right):
+            above = np.flatnonzero(side > x[p])
+            reach = side[:above[0]] if len(above) else side
+            bases.append(min(reach.min(), x[p]) if len(reach) else x[p])
+        out[i] = x[p] - max(bases)
+    return out

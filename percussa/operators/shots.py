@@ -33,21 +33,28 @@ def envelope_of(samples: pd.Series) -> pd.Series:
     return out
 
 
-_WEIGHTED_FIELDS = ["Lpeak_A", "Lpeak_C", "LAE", "LCE", "LAFmax", "LASmax", "LZFmax", "LZSmax", "LAImax", "LZImax"]
+_WEIGHTED_FIELDS = ["Lpeak_A", "Lpeak_C", "LAE", "LCE", "LAFmax", "LASmax", "LZFmax", "LZSmax", "LAImax", "LZImax",
+                    "spectral_centroid_Hz"]
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in _WEIGHTED_FIELDS]))
-def weighted_levels(samples: pd.Series, fs: pd.Series, start: pd.Series, stop: pd.Series) -> pd.DataFrame:
-    """Levels that need a weighting filter or a detector; exposure over [start, stop)."""
+_TRANSFORMED = T.StructType([T.StructField("envelope", T.ArrayType(T.DoubleType())),
+                             *[T.StructField(n, T.DoubleType()) for n in _WEIGHTED_FIELDS]])
+
+
+@F.pandas_udf(_TRANSFORMED)
+def transforms_of(samples: pd.Series, fs: pd.Series) -> pd.DataFrame:
+    """Everything of a window that needs a transform, a filter or a detector, in one pass over Arrow."""
     out = pd.DataFrame(np.nan, index=samples.index, columns=_WEIGHTED_FIELDS)
-    ref = L.P_REF**2
+    envelopes = pd.Series([[]] * len(samples), index=samples.index, dtype=object)
 
     def power(v):
-        return 10 * np.log10(np.maximum(v, L.EPS) / ref)
+        return 10 * np.log10(np.maximum(v, L.EPS) / L.P_REF**2)
 
     for at, x, rate in _per_shape(samples, fs):
+        env = dsp.envelope(x)
+        start, stop = dsp.energy_bounds(x)
         n = np.arange(x.shape[-1])
-        span = (n >= start[at].to_numpy()[:, None]) & (n < stop[at].to_numpy()[:, None])
+        span = (n >= start[:, None]) & (n < stop[:, None])
         hop = max(1, int(rate) // 1000)
         z2 = x * x
         for kind in ("A", "C"):
@@ -61,22 +68,11 @@ def weighted_levels(samples: pd.Series, fs: pd.Series, start: pd.Series, stop: p
                 y = dsp.exponential_average(squared, rate, tau)[..., ::hop]
                 out.loc[at, f"L{kind}{letter}max"] = power(y.max(axis=-1))
             out.loc[at, f"L{kind}Imax"] = power(dsp.impulse_average(squared, rate).max(axis=-1))
-    return out
-
-
-@F.pandas_udf(T.DoubleType())
-def centroid_of(blast: pd.Series, fs: pd.Series) -> pd.Series:
-    """Power-weighted mean frequency at and above 20 Hz under a symmetric Hann window."""
-    out = pd.Series(0.0, index=blast.index)
-    for at, x, rate in _per_shape(blast, fs):
-        n = x.shape[-1]
-        if n < 4:
-            continue
-        power = np.abs(np.fft.rfft(x * np.hanning(n))) ** 2
-        f = np.fft.rfftfreq(n, 1 / rate)
-        power, f = power[:, f >= 20], f[f >= 20]
-        total = power.sum(axis=1)
-        out[at] = np.where(total < L.EPS, 0.0, (power * f).sum(axis=1) / np.maximum(total, L.EPS))
+        first, last = dsp.blast_bounds(env, rate)
+        for i, row, e, lo, hi in zip(at, x, env, first, last):
+            envelopes[i] = e
+            out.loc[i, "spectral_centroid_Hz"] = dsp.centroid(row[lo:hi], rate)
+    out.insert(0, "envelope", envelopes)
     return out
 
 
@@ -263,15 +259,14 @@ def window_noise(df: DataFrame, samples: str = "samples", fs: str = "fs", span:
 
 def shot_metrics(windows: DataFrame, clipped: str | None = None, truncated: str | None = None) -> DataFrame:
     """Every per-shot metric of windows with samples (Pa) and fs."""
-    out = windows.withColumn("envelope", envelope_of("samples")).withColumn("span", integration_span())
-    out = out.withColumn("blast", blast_span())
-    out = out.withColumn("_w", weighted_levels("samples", "fs", F.col("span")["start"], F.col("span")["stop"]))
+    out = windows.withColumn("_w", transforms_of("samples", "fs")).withColumn("envelope", F.col("_w")["envelope"])
+    out = out.withColumn("span", integration_span()).withColumn("blast", blast_span())
     out = out.withColumn("_blast", part("samples", F.col("blast")["start"], F.col("blast")["stop"]))
     out = out.withColumns({
         "Lpeak_Z": L.amplitude_level(L.peak("samples")),
         "LZE": exposure(part("samples", F.col("span")["start"], F.col("span")["stop"]), F.col("fs")),
         "b_duration_ms": b_duration_ms(), "crest_factor_dB": crest_factor(F.col("_blast")),
-        "kurtosis": excess_kurtosis(F.col("_blast")), "spectral_centroid_Hz": centroid_of("_blast", "fs"),
+        "kurtosis": excess_kurtosis(F.col("_blast")),
         **{n: F.col("_w")[n] for n in _WEIGHTED_FIELDS},
         "duration_s": F.size("samples") / F.col("fs"), "blast_duration_s": F.size("_blast") / F.col("fs"),
         "integration_window_s": (F.col("span")["stop"] - F.col("span")["start"]) / F.col("fs"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from percussa.functions import levels as L
 from percussa.operators.ordered import numbered
 
 SHOT_METRICS = ["Lpeak_Z", "LAE", "spectral_centroid_Hz", "a_duration_ms", "rise_time_us"]
@@ -118,21 +119,29 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.posexplode("samples").alias("n", "x"))
 
 
-def stream_samples(spark: SparkSession, sf_dir: str, wanted: str = "n long, x double") -> DataFrame:
-    """Each recording as ONE long signal: its windows laid end to end by vec_id.
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each recording as ONE long signal in chunks of 64 samples: its windows in order of vec_id.
 
-    The offset of a window is its rank among the label's windows, from a
-    split-safe numbering of windows (not of samples).
+    Every seventh window is loud and the next six decay by 8 dB each, so the
+    signal has events. The chunk number is a split-safe rank of windows.
     """
     ranked = numbered(windows(spark, sf_dir), ["recording_id"], ["shot_number"], "_rank")
-    exploded = ranked.select("recording_id", "fs", "_rank", F.posexplode("samples").alias("_p", "x"))
-    return exploded.select("recording_id", "fs", ((F.col("_rank") - 1) * 64 + F.col("_p")).alias("n"), "x")
+    chunk = F.col("_rank") - 1
+    gain = F.pow(F.lit(10.0), (chunk % 7) * -0.4)
+    return ranked.select("recording_id", "fs", chunk.alias("chunk_id"), L.scaled("samples", gain).alias("samples"))
+
+
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long form of `chunks`: (recording_id, fs, n, x)."""
+    exploded = chunks(spark, sf_dir).select("recording_id", "fs", "chunk_id", F.posexplode("samples").alias("_p", "x"))
+    return exploded.select("recording_id", "fs", (F.col("chunk_id") * 64 + F.col("_p")).alias("n"), "x")
 
 
 STREAM_SQL = WINDOWS_SQL + """, ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY shot_number) AS rk FROM windows
+  SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY shot_number) - 1 AS chunk_id FROM windows
 ), stream AS (
-  SELECT recording_id, fs, (rk - 1) * 64 + unnest(range(len(samples))) AS n, unnest(samples) AS x FROM ranked)"""
+  SELECT recording_id, fs, chunk_id * 64 + unnest(range(len(samples))) AS n,
+         unnest(samples) * power(10.0::DOUBLE, (chunk_id % 7) * -0.4::DOUBLE) AS x FROM ranked)"""
 
 
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:

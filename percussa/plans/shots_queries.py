@@ -150,7 +150,8 @@ bins AS (SELECT recording_id, shot_number, k, k * 8000::DOUBLE / any_value(len)
   FROM cut, range(33) t(k) WHERE k <= len // 2 GROUP BY 1, 2, 3)
 SELECT recording_id, shot_number, {r("sum(f * p) / sum(p)", "spectral_centroid_Hz", 4)} FROM bins WHERE f >= 20 GROUP BY 1, 2""")
 def spectral_centroid(spark, sf):
-    return rounded(blasts(spark, sf).select(*ID, G.centroid_of("x", "fs").alias("spectral_centroid_Hz")), 4)
+    w = B.windows(spark, sf).withColumn("t", G.transforms_of("samples", "fs"))
+    return rounded(w.select(*ID, "t.spectral_centroid_Hz"), 4)
 
 
 METRICS = [*S.LEVEL_METRICS, *S.PLAIN_METRICS]
