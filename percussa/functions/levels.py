@@ -22,12 +22,14 @@ def finite(value) -> Column:
 
 def amplitude_level(value) -> Column:
     """Level of a pressure amplitude in Pa."""
-    return 20 * F.log10(F.greatest(F.abs(_col(value)), F.lit(EPS)) / F.lit(P_REF))
+    a = F.abs(_col(value))
+    return 20 * F.log10(F.when(a.isNotNull(), F.greatest(a, F.lit(EPS))) / F.lit(P_REF))
 
 
 def power_level(value) -> Column:
     """Level of a mean square pressure or of a squared-pressure integral."""
-    return 10 * F.log10(F.greatest(_col(value), F.lit(EPS)) / F.lit(P_REF * P_REF))
+    p = _col(value)
+    return 10 * F.log10(F.when(p.isNotNull(), F.greatest(p, F.lit(EPS))) / F.lit(P_REF * P_REF))
 
 
 def amplitude_of(level) -> Column:
