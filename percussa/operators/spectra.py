@@ -90,7 +90,8 @@ def impulse_chunks(chunks: DataFrame, keys: list[str], chunk: int, fs: int) -> D
 
 def level_curve(averaged: DataFrame, keys: list[str], hop: int, chunk: int, fs: int, curve: str) -> DataFrame:
     """Long level history at every hop-th sample: (keys, curve, t, level)."""
-    long = averaged.select(*keys, "chunk_id", F.posexplode("mean_square").alias("_p", "_ms"))
+    # The outer form keeps Spark from moving a size test on the kernel's result into the join below it.
+    long = averaged.select(*keys, "chunk_id", F.posexplode_outer("mean_square").alias("_p", "_ms")).where("_p IS NOT NULL")
     n = F.col("chunk_id") * chunk + F.col("_p")
     return long.where(n % hop == 0).select(*keys, F.lit(curve).alias("curve"), (n / fs).alias("t"),
                                            L.power_level("_ms").alias("level"))

@@ -33,14 +33,19 @@ def local_session(cores: int | None = None, app: str = "percussa") -> SparkSessi
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and cut its lineage.
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder the session names in spark.checkpoint.dir.
 
-    The folder is the one the session names in spark.checkpoint.dir; a private
-    one is set only where the session names none, as in tests.
+    A private one is set only where the session names none, as in tests.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="percussa-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder and cut its lineage."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
