@@ -91,5 +91,6 @@ def peak(samples) -> Column:
 
 
 def scaled(samples, factor) -> Column:
-    """Array times a factor; full scale to Pa when the factor is Pa per FS."""
-    return let(factor, lambda f: F.transform(_col(samples), lambda x: x * f))
+    """Array times a factor column; full scale to Pa when the factor is Pa per FS."""
+    f = _col(factor)
+    return F.transform(_col(samples), lambda x: x * f)

@@ -9,6 +9,7 @@ from percussa.functions import air
 from percussa.functions import levels as L
 from percussa.operators.ordered import numbered
 from percussa.operators.strings import first_round_pop_across
+from percussa.session import checkpointed
 
 # Fixed weights of the agreeing fields, and fixed tolerances.
 SCORE_FIELDS = {"mic_distance_m": 4, "mic_angle_deg": 4, "mic_model": 2, "mic_serial": 1, "location": 2,
@@ -208,23 +209,40 @@ def comparability(pairs: DataFrame, keys: list[str]) -> DataFrame:
 PROFILE = [*SCORE_FIELDS, "weapon", "ammunition"]
 
 
-def profile_value(field: str) -> Column:
+def profile_value(field: str, kind: str = "string") -> Column:
     """One spelling for values that agree: numbers as numbers, text in lower case."""
+    if kind != "string":
+        return L.finite(field).cast("string")
     return F.coalesce(number(field).cast("string"), F.lower(text(field)))
 
 
-def _profiles(recordings: DataFrame, session: str, prefix: str) -> DataFrame:
+def _spelled(recordings: DataFrame, session: str) -> DataFrame:
+    """Recordings reduced to what pairing looks at, spelled once."""
+    kinds = dict(recordings.dtypes)
+    return recordings.select(session, "recording_id", F.lower(text("configuration")).alias("_config"),
+                             *[profile_value(c, kinds[c]).alias(f"_k_{c}") for c in PROFILE])
+
+
+def _profiles(spelled: DataFrame, session: str, prefix: str) -> DataFrame:
     """Distinct set-ups of a session with how many recordings share them."""
-    norm = [profile_value(c).alias(f"{prefix}_{c}") for c in PROFILE]
-    return recordings.select(session, *norm, "recording_id").groupBy(
+    return spelled.select(session, "recording_id", *[F.col(f"_k_{c}").alias(f"{prefix}_{c}") for c in PROFILE]).groupBy(
         session, *[f"{prefix}_{c}" for c in PROFILE]).agg(
         F.count("*").alias(f"{prefix}_count"), F.min("recording_id").alias(f"{prefix}_id"))
 
 
+def _score_of_profiles() -> Column:
+    """match_score on set-ups, whose values are already spelled alike."""
+    total = F.lit(0.0)
+    for c, weight in SCORE_FIELDS.items():
+        same = _agree_numbers(c) if c in TOLERANCES else F.col(f"ref_{c}") == F.col(f"test_{c}")
+        total = total + F.when(same, float(weight)).otherwise(0.0)
+    return total
+
+
 def _best_by_join(tests: DataFrame, refs: DataFrame, session: str) -> DataFrame:
     """Best score of every test set-up by comparing it with the session's reference set-ups."""
     pairs = tests.join(refs, session).withColumn("_why", F.when(differs("weapon"), 1).when(differs("ammunition"), 1))
-    scored = pairs.withColumn("_score", F.when(F.col("_why").isNull(), match_score()))
+    scored = pairs.withColumn("_score", F.when(F.col("_why").isNull(), _score_of_profiles()))
     key = [session, *[f"test_{c}" for c in PROFILE]]
     return _top_score(scored.where(F.col("_score").isNotNull()).select(
         *key, F.col("_score").alias("w"), F.col("ref_count").alias("n"), F.col("ref_id").alias("id")), key)
@@ -259,16 +277,15 @@ def _best_by_subsets(tests: DataFrame, refs: DataFrame, session: str) -> DataFra
                  .groupBy(session, f"test_{c}").agg(F.collect_set(f"ref_{c}").alias(f"_near_{c}")))
         near = near.join(match, [session, f"test_{c}"], "left")
 
-    def keys(value_of) -> Column:
-        # All subsets, built field by field: (weight, key text).
-        start = F.array(F.struct(F.lit(0.0).alias("w"), F.lit("").alias("k")))
-        acc = start
+    def subsets(rows: DataFrame, value_of) -> DataFrame:
+        """Rows times the subsets of their fields, built field by field: weight and key text."""
+        out = rows.withColumn("w", F.lit(0.0)).withColumn("k", F.lit(""))
         for i, c in enumerate(fields):
-            values, w = value_of(c), float(SCORE_FIELDS[c])
-            extended = F.flatten(F.transform(values, lambda v, acc=acc, i=i, w=w: F.transform(
-                acc, lambda x: F.struct((x["w"] + w).alias("w"), F.concat(x["k"], F.lit(f"|{i}="), v).alias("k")))))
-            acc = F.concat(acc, F.coalesce(extended, F.array().cast("array<struct<w:double,k:string>>")))
-        return acc
+            out = out.withColumn("_o", F.explode(F.concat(F.array(F.lit(None).cast("string")), value_of(c))))
+            taken = F.col("_o").isNotNull()
+            out = out.withColumn("w", F.col("w") + F.when(taken, float(SCORE_FIELDS[c])).otherwise(0.0))
+            out = out.withColumn("k", F.when(taken, F.concat("k", F.lit(f"|{i}="), "_o")).otherwise(F.col("k"))).drop("_o")
+        return out
 
     def ref_value(c):
         return F.array_compact(F.array(F.col(f"ref_{c}")))
@@ -280,14 +297,14 @@ def _best_by_subsets(tests: DataFrame, refs: DataFrame, session: str) -> DataFra
 
     gates = ("weapon", "ammunition")
     none = F.lit("\0none")
-    ref_rows = refs.select(session, "ref_count", "ref_id", F.inline(keys(ref_value)), *[
+    ref_rows = subsets(refs, ref_value).select(session, "ref_count", "ref_id", "w", "k", *[
         F.coalesce(F.col(f"ref_{g}"), none).alias(f"_{g}") for g in gates])
     index = ref_rows.groupBy(session, "_weapon", "_ammunition", "k").agg(
         F.sum("ref_count").alias("n"), F.min("ref_id").alias("id"))
     # A test that does not name its weapon meets every weapon of the session.
     seen = refs.select(session, *[F.coalesce(F.col(f"ref_{g}"), none).alias(f"_{g}") for g in gates]).distinct()
     key = [session, *[f"test_{c}" for c in PROFILE]]
-    probes = near.select(*key, F.inline(keys(test_value))).join(seen, session)
+    probes = subsets(near, test_value).select(*key, "w", "k").join(seen, session)
     for g in gates:
         probes = probes.where(F.col(f"test_{g}").isNull() | (F.col(f"_{g}") == F.col(f"test_{g}")) | (F.col(f"_{g}") == none))
     hits = probes.join(index, [session, "_weapon", "_ammunition", "k"])
@@ -301,20 +318,20 @@ def auto_pair(recordings: DataFrame, session: str, pair_limit: int = 250_000) ->
     compared set-up by set-up while the product of its set-ups is at most
     `pair_limit`; beyond it the subset index gives the same answer.
     """
-    config = F.lower(text("configuration"))
-    tests = _profiles(recordings.where(config == "suppressed"), session, "test")
-    refs = _profiles(recordings.where(config == "unsuppressed"), session, "ref")
+    spelled = checkpointed(_spelled(recordings, session))
+    tests = _profiles(spelled.where("_config = 'suppressed'"), session, "test")
+    refs = _profiles(spelled.where("_config = 'unsuppressed'"), session, "ref")
     sizes = (tests.groupBy(session).agg(F.count("*").alias("_t"))
              .join(refs.groupBy(session).agg(F.count("*").alias("_r")), session)
              .withColumn("_wide", F.col("_t").cast("double") * F.col("_r") > pair_limit))
-    narrow, wide = sizes.where("NOT _wide").select(session), sizes.where("_wide").select(session)
-    best = _best_by_join(tests.join(narrow, session, "left_semi"), refs.join(narrow, session, "left_semi"), session)
-    if sizes.where("_wide").limit(1).count():
-        best = best.unionByName(_best_by_subsets(
-            tests.join(wide, session, "left_semi"), refs.join(wide, session, "left_semi"), session))
+    wide = sizes.where("_wide").select(session)
+    if wide.limit(1).count():
+        best = _best_by_join(tests.join(wide, session, "left_anti"), refs.join(wide, session, "left_anti"), session).unionByName(
+            _best_by_subsets(tests.join(wide, session, "left_semi"), refs.join(wide, session, "left_semi"), session))
+    else:
+        best = _best_by_join(tests, refs, session)
     n_refs = refs.groupBy(session).agg(F.sum("ref_count").alias("_n_refs"))
-    rows = recordings.where(config == "suppressed").select(
-        session, "recording_id", *[profile_value(c).alias(f"_k_{c}") for c in PROFILE])
+    rows = spelled.where("_config = 'suppressed'").drop("_config")
     cond = rows[session] == best[session]
     for c in PROFILE:
         cond = cond & rows[f"_k_{c}"].eqNullSafe(best[f"test_{c}"])

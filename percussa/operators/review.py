@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from percussa.functions import levels as L
 from percussa.functions.stats import t_isf
@@ -50,46 +52,43 @@ def robust_spread_band(long: DataFrame, keys: list[str], value: str = "value",
     return c.withColumn("low", F.col("median") - half).withColumn("high", F.col("median") + half)
 
 
-def _esd_walk(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Remove extremes from both ends of one group's candidate values.
+_STEPS = T.ArrayType(T.StructType([
+    T.StructField("value", T.DoubleType()), T.StructField("_nth", T.LongType()),
+    T.StructField("step", T.LongType()), T.StructField("esd_statistic", T.DoubleType())]))
+
+
+@F.pandas_udf(_STEPS)
+def _esd_walk(n: pd.Series, total: pd.Series, m2: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+    """Remove the extremes of each group from its two ends, one step at a time.
 
-    Rows are distinct values with counts. Beyond the candidates no step can be
-    significant, so the walk ends when the next removal is not among them.
+    `low` and `high` hold the distinct candidate values of an end with their
+    counts and first rows, most extreme first. Beyond the candidates no step
+    can be significant, so the walk ends when both ends are used up.
     """
-    n, total, m2 = int(pdf["_n"].iloc[0]), float(pdf["_sum"].iloc[0]), float(pdf["_m2"].iloc[0])
-    mean = total / n
-    steps = max(1, min(max(1, int(n * MAX_FRACTION)), n - 2))
-    ends = {}
-    for side, sign in (("low", 1), ("high", -1)):
-        part = pdf[pdf["_side"] == side].sort_values("value", ascending=sign > 0)
-        ends[side] = [part["value"].to_numpy(), part["_count"].to_numpy(), part["_first"].to_numpy(), 0, 0]
-    removed, left = [], n
-    for step in range(1, steps + 1):
-        sd = np.sqrt(max(m2, 0.0) / (left - 1)) if left > 1 else 0.0
-        if left < 3 or sd <= 1e-12 * max(1.0, abs(mean)):
-            break
-        options = []
-        for side, (values, _, firsts, i, _) in ends.items():
-            if i < len(values):
-                options.append((abs(values[i] - mean), -firsts[i], side))
-        if len(options) < 2 and not options:
+    return pd.Series([_walk(*row) for row in zip(n, total, m2, low, high)], dtype=object)
+
+
+def _walk(n, total, m2, low, high):
+    mean, left, out = total / n, n, []
+    ends = [list(low), list(high)]
+    at, used = [0, 0], [0, 0]
+    for step in range(1, max(1, min(max(1, int(n * MAX_FRACTION)), n - 2)) + 1):
+        sd = math.sqrt(max(m2, 0.0) / (left - 1)) if left > 1 else 0.0
+        open_ends = [e for e in (0, 1) if at[e] < len(ends[e])]
+        if left < 3 or sd <= 1e-12 * max(1.0, abs(mean)) or not open_ends:
             break
-        deviation, _, side = max(options)
-        e = ends[side]
-        x = float(e[0][e[3]])
-        removed.append((x, e[4] + 1, step, deviation / sd))
-        e[4] += 1
-        if e[4] == e[1][e[3]]:
-            e[3], e[4] = e[3] + 1, 0
+        # The larger deviation goes; the earlier row goes first on a tie.
+        deviation, _, end = max((abs(ends[e][at[e]]["v"] - mean), -ends[e][at[e]]["f"], e) for e in open_ends)
+        x = ends[end][at[end]]["v"]
+        used[end] += 1
+        out.append({"value": x, "_nth": used[end], "step": step, "esd_statistic": deviation / sd})
+        if used[end] == ends[end][at[end]]["c"]:
+            at[end], used[end] = at[end] + 1, 0
         left -= 1
         shifted = mean + (mean - x) / left
         m2 -= (x - mean) * (x - shifted)
         mean = shifted
-    out = pd.DataFrame(removed, columns=["value", "_nth", "step", "esd_statistic"])
-    out["_n"] = n
-    for k in keys:
-        out[k] = pdf[k].iloc[0]
-    return out[[*keys, "value", "_nth", "step", "esd_statistic", "_n"]]
+    return out
 
 
 def esd_critical(n: Column, step: Column, t: Column) -> Column:
@@ -102,7 +101,7 @@ def generalised_esd(long: DataFrame, keys: list[str], order: str, alpha: float =
                     value: str = "value", limit: int | None = None) -> DataFrame:
     """Outlying rows by Rosner's test, with step, statistic and critical value.
 
-    A grouped kernel sees only values that can be outliers. Bounds: at most a
+    A row of candidates per group holds only values that can be outliers. Bounds: at most a
     tenth of a group is removed, always from its ends, so the values between
     its 12th and 88th percentile stay; their sum of squares bounds every later
     deviation from below, and the means of everything below b and above a
@@ -131,17 +130,14 @@ def generalised_esd(long: DataFrame, keys: list[str], order: str, alpha: float =
     joined = rows.join(bounds, keys)
     high = F.col("_room").isNull() | (v > F.col("_below") + F.col("_room"))
     low = F.col("_room").isNull() | (v < F.col("_above") - F.col("_room"))
-    sides = F.array_compact(F.array(F.when(high, "high"), F.when(low, "low")))
-    candidates = (
-        joined.where(high | low).groupBy(*keys, value, "_n", "_sum", "_m2", "_room", "_below", "_above")
-        .agg(F.count("*").alias("_count"), F.min(order).alias("_first"))
-        .select(*keys, F.col(value).alias("value"), "_n", "_sum", "_m2", "_count", "_first",
-                F.explode(sides).alias("_side")))
-    types = {f.name: f.dataType.simpleString() for f in long.schema.fields}
-    schema = ", ".join(f"{c} {types[c]}" for c in keys)
-    found = candidates.groupBy(*keys).applyInPandas(
-        lambda pdf: _esd_walk(pdf, keys),
-        schema + ", value double, _nth long, step long, esd_statistic double, _n long")
+    candidates = joined.where(high | low).groupBy(*keys, value, "_n", "_sum", "_m2", high.alias("_high"), low.alias("_low")).agg(
+        F.count("*").alias("c"), F.min(order).alias("f"))
+    entry = F.struct(F.col(value).alias("v"), "c", "f")
+    packed = candidates.groupBy(*keys, "_n", "_sum", "_m2").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_low"), entry))).alias("_l"),
+        F.reverse(F.array_sort(F.collect_list(F.when(F.col("_high"), entry)))).alias("_h"))
+    walked = packed.select(*keys, "_n", _esd_walk("_n", "_sum", "_m2", "_l", "_h").alias("_steps"))
+    found = walked.select(*keys, "_n", F.inline_outer("_steps")).where("step IS NOT NULL")
     # Small by now, and used three times below.
     found = checkpointed(found)
     step = F.col("step").cast("double")
