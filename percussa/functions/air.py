@@ -25,19 +25,34 @@ def vapour_pct(t_k: Column, humidity: Column, pressure: Column) -> Column:
     return humidity * saturation / (pressure / P_REF_KPA)
 
 
-def absorption(frequency: Column, temperature_C: Column, humidity: Column, pressure: Column) -> Column:
-    """Attenuation coefficient in dB/m."""
+def terms(temperature_C: Column, humidity: Column, pressure: Column) -> Column:
+    """The parts of the attenuation that do not depend on frequency, as a struct.
+
+    Compute it once per recording, before the bands are added.
+    """
     t_k = temperature_C + T_ZERO_C_K
     p, t = pressure / P_REF_KPA, t_k / T_REF_K
     h = vapour_pct(t_k, humidity, pressure)
     oxygen_Hz = p * (24.0 + 4.04e4 * h * (0.02 + h) / (0.391 + h))
     nitrogen_Hz = p * F.pow(t, F.lit(-0.5)) * (
         9.0 + 280.0 * h * F.exp(-4.170 * (F.pow(t, F.lit(-1.0 / 3.0)) - 1.0)))
+    spread = F.pow(t, F.lit(-2.5))
+    return F.struct(
+        (1.84e-11 / p * F.sqrt(t)).alias("classical"),
+        (spread * 0.01275 * F.exp(-2239.1 / t_k)).alias("oxygen"), oxygen_Hz.alias("oxygen_Hz"),
+        (spread * 0.1068 * F.exp(-3352.0 / t_k)).alias("nitrogen"), nitrogen_Hz.alias("nitrogen_Hz"))
+
+
+def alpha(frequency: Column, air: Column) -> Column:
+    """Attenuation coefficient in dB/m at a frequency, from `terms`."""
     f2 = frequency * frequency
-    classical = 1.84e-11 / p * F.sqrt(t)
-    oxygen = 0.01275 * F.exp(-2239.1 / t_k) / (oxygen_Hz + f2 / oxygen_Hz)
-    nitrogen = 0.1068 * F.exp(-3352.0 / t_k) / (nitrogen_Hz + f2 / nitrogen_Hz)
-    return 8.686 * f2 * (classical + F.pow(t, F.lit(-2.5)) * (oxygen + nitrogen))
+    return 8.686 * f2 * (air["classical"] + air["oxygen"] / (air["oxygen_Hz"] + f2 / air["oxygen_Hz"])
+                         + air["nitrogen"] / (air["nitrogen_Hz"] + f2 / air["nitrogen_Hz"]))
+
+
+def absorption(frequency: Column, temperature_C: Column, humidity: Column, pressure: Column) -> Column:
+    """Attenuation coefficient in dB/m."""
+    return alpha(frequency, terms(temperature_C, humidity, pressure))
 
 
 def spreading(distance: Column, reference: Column) -> Column:

@@ -22,8 +22,8 @@ def with_air(recordings: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(L.finite(c), F.lit(v)) for c, v in air.DEFAULT_AIR.items()})
 
 
-def alpha(frequency: Column) -> Column:
-    return air.absorption(frequency, F.col("temperature_C"), F.col("humidity_pct"), F.col("pressure_kPa"))
+def air_terms() -> Column:
+    return air.terms(F.col("temperature_C"), F.col("humidity_pct"), F.col("pressure_kPa"))
 
 
 def range_warnings() -> Column:
@@ -36,7 +36,8 @@ def absorption(recordings: DataFrame, centres: list[float] | None = None) -> Dat
     """Attenuation of every recording in every band; bands are added inside the row."""
     centres = centres or BAND_CENTRES
     bands = F.explode(F.array(*[F.lit(float(c)) for c in centres]))
-    return with_air(recordings).withColumn("band_Hz", bands).withColumn("alpha_dB_per_m", alpha(F.col("band_Hz")))
+    rows = with_air(recordings).withColumn("_air", air_terms()).withColumn("band_Hz", bands)
+    return rows.withColumn("alpha_dB_per_m", air.alpha(F.col("band_Hz"), F.col("_air"))).drop("_air")
 
 
 def _refusal(distance: Column, reference: float, peak_pa: Column | None, allow_nonlinear: bool) -> Column:
@@ -60,7 +61,7 @@ def normalise_bands(bands: DataFrame, reference_m: float = 1.0, level: str = "le
     rows = rows.withColumn("refusal", _refusal(d, reference_m, peak, allow_nonlinear))
     ok = F.col("refusal").isNull()
     rows = rows.withColumn("geometric_dB", F.when(ok, air.spreading(d, F.lit(reference_m))))
-    rows = rows.withColumn("absorption_dB", F.when(ok, alpha(F.col("band_Hz")) * (d - reference_m)))
+    rows = rows.withColumn("absorption_dB", F.when(ok, air.alpha(F.col("band_Hz"), air_terms()) * (d - reference_m)))
     warnings = F.concat(range_warnings(), F.array_compact(F.array(
         F.when(~F.col("band_Hz").between(*air.BAND_RANGE_HZ), "band outside the standard's range"),
         F.lit(None) if peak is None or not allow_nonlinear else F.when(air.is_nonlinear(peak), "propagation was not linear"))))
@@ -82,25 +83,28 @@ def normalise_peak(peaks: DataFrame, reference_m: float = 1.0, level: str = "lev
 def atmospheric_effect(recordings: DataFrame, centres: list[float] | None = None) -> DataFrame:
     """Absorption over the path per band and how far a wrong reading would move it."""
     d = F.col("mic_distance_m")
-    rows = absorption(recordings.where(d > 0), centres)
     t, h, p = F.col("temperature_C"), F.col("humidity_pct"), F.col("pressure_kPa")
-    f = F.col("band_Hz")
     shifted = {
         "temperature": ((t - STEPS["temperature_C"], h, p), (t + STEPS["temperature_C"], h, p)),
         "humidity": ((t, F.greatest(F.lit(0.0), h - STEPS["humidity_pct"]), p),
                      (t, F.least(F.lit(100.0), h + STEPS["humidity_pct"]), p)),
         "pressure": ((t, h, F.greatest(F.lit(1.0), p - STEPS["pressure_kPa"])), (t, h, p + STEPS["pressure_kPa"])),
     }
-    base = F.col("alpha_dB_per_m")
-    changes = {}
-    for name, (low, high) in shifted.items():
-        changes[f"_{name}_low"] = (air.absorption(f, *low) - base) * d
-        changes[f"_{name}_high"] = (air.absorption(f, *high) - base) * d
-    rows = rows.withColumns(changes)
+    # Seven sets of weather per recording, before it is multiplied by the bands.
+    sets = {"_base": air_terms()}
+    for name, pair in shifted.items():
+        sets[f"_{name}_low"], sets[f"_{name}_high"] = (air.terms(*c) for c in pair)
+    centres = centres or BAND_CENTRES
+    rows = with_air(recordings.where(d > 0)).withColumns(sets).withColumn(
+        "band_Hz", F.explode(F.array(*[F.lit(float(c)) for c in centres])))
+    f = F.col("band_Hz")
+    rows = rows.withColumns({c: air.alpha(f, F.col(c)) for c in sets})
+    base = F.col("_base")
+    out = {"alpha_dB_per_m": base, "absorption_dB": base * d}
     for name in shifted:
-        low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
-        rows = rows.withColumn(f"{name}_sensitivity_dB", F.when(F.abs(low) >= F.abs(high), low).otherwise(high))
-    return rows.drop(*changes).withColumn("absorption_dB", base * d)
+        low, high = (F.col(f"_{name}_{end}") - base for end in ("low", "high"))
+        out[f"{name}_sensitivity_dB"] = F.when(F.abs(low) >= F.abs(high), low).otherwise(high) * d
+    return rows.withColumns(out).drop(*sets)
 
 
 def worst_effect(effect: DataFrame, keys: list[str]) -> DataFrame:

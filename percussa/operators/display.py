@@ -135,9 +135,9 @@ def shared_range(levels: DataFrame, keys: list[str], level: str = "level", span_
     """Colour range of each group and the one all groups share."""
     each = levels.groupBy(*keys).agg(F.max(L.finite(level)).alias("_max"))
     top = F.ceil(F.col("_max") / round_to) * round_to
-    every = each.agg(F.max(top).alias("_shared"))
-    # One row: the shared top.
-    return each.crossJoin(F.broadcast(every)).select(
+    # One row, the shared top, met through a constant key.
+    every = each.agg(F.max(top).alias("_shared")).withColumn("_one", F.lit(1))
+    return each.withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one").select(
         *keys, (top - span_dB).alias("low"), top.cast("double").alias("high"), (F.col("_shared") - span_dB).alias("shared_low"),
         F.col("_shared").cast("double").alias("shared_high"))
 

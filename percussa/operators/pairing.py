@@ -34,8 +34,12 @@ def number(name: str) -> Column:
 
 
 def parse_date(name: str) -> Column:
-    """Date in the first of four formats that fits."""
-    return F.coalesce(*[F.try_to_date(text(name), f) for f in ("yyyy-M-d", "yyyy/M/d", "d/M/yyyy", "M/d/yyyy")])
+    """Date in the first of four formats that fits; the shape of the text picks the format."""
+    t = text(name)
+    return (F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(t, "yyyy-M-d"))
+            .when(t.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.try_to_date(t, "yyyy/M/d"))
+            .when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"),
+                  F.coalesce(F.try_to_date(t, "d/M/yyyy"), F.try_to_date(t, "M/d/yyyy"))))
 
 
 NUMBERS = ["mic_distance_m", "mic_angle_deg", "mic_height_m", "temperature_C", "humidity_pct", "pressure_kPa",
@@ -115,16 +119,15 @@ def _both(field: str, get) -> tuple[Column, Column, Column]:
 
 
 def with_air(pairs: DataFrame) -> DataFrame:
-    """Typed pairs with the absorption difference per metre at 1 and 4 kHz."""
+    """Typed pairs with the absorption difference per metre at 1 and 4 kHz, and the days between."""
     out = typed(pairs)
-    standard = F.lit(air.P_REF_KPA)
-
-    def alpha(hz: float, side: str) -> Column:
-        return air.absorption(F.lit(hz), F.col(f"{side}_temperature_C"), F.col(f"{side}_humidity_pct"),
-                              F.coalesce(F.col(f"{side}_pressure_kPa"), standard))
-
-    return out.withColumns({
-        f"_air_{hz:.0f}": alpha(hz, "test") - alpha(hz, "ref") for hz in (1000.0, 4000.0)})
+    out = out.withColumns({f"_air_{side}": air.terms(
+        F.col(f"{side}_temperature_C"), F.col(f"{side}_humidity_pct"),
+        F.coalesce(F.col(f"{side}_pressure_kPa"), F.lit(air.P_REF_KPA))) for side in ("ref", "test")})
+    change = {f"_air_{hz:.0f}": air.alpha(F.lit(hz), F.col("_air_test")) - air.alpha(F.lit(hz), F.col("_air_ref"))
+              for hz in (1000.0, 4000.0)}
+    gap = F.abs(F.datediff(parse_date("test_date"), parse_date("ref_date")))
+    return out.withColumns({**change, "_gap": gap})
 
 
 def objection_rules(columns: list[str]) -> list[Column]:
@@ -168,7 +171,7 @@ def objection_rules(columns: list[str]) -> list[Column]:
     for side, label in (("ref", "reference"), ("test", "test")):
         drift = F.col(f"{side}_calibration_post_dB") - F.col(f"{side}_calibration_pre_dB")
         rules.append(_rule(F.abs(drift) > DRIFT_LIMIT_DB, f"{label}_calibration_drift", "material", drift))
-    gap = F.abs(F.datediff(parse_date("test_date"), parse_date("ref_date")))
+    gap = F.col("_gap")
     rules += [_rule(differs("windscreen"), "windscreen_differs", "material"),
               _rule(gap > 0, "different_day", F.when(gap <= 1, "advisory").otherwise("material")),
               _rule(differs("location"), "location_differs", "blocking")]
@@ -240,12 +243,15 @@ def _score_of_profiles() -> Column:
 
 
 def _best_by_join(tests: DataFrame, refs: DataFrame, session: str) -> DataFrame:
-    """Best score of every test set-up by comparing it with the session's reference set-ups."""
-    pairs = tests.join(refs, session).withColumn("_why", F.when(differs("weapon"), 1).when(differs("ammunition"), 1))
-    scored = pairs.withColumn("_score", F.when(F.col("_why").isNull(), _score_of_profiles()))
-    key = [session, *[f"test_{c}" for c in PROFILE]]
-    return _top_score(scored.where(F.col("_score").isNotNull()).select(
-        *key, F.col("_score").alias("w"), F.col("ref_count").alias("n"), F.col("ref_id").alias("id")), key)
+    """Best score of every test by comparing it with its session's reference set-ups.
+
+    Everything groups by session first, as the join does, so the join's
+    shuffle serves the grouping too.
+    """
+    pairs = tests.join(refs, session).where(~differs("weapon") & ~differs("ammunition"))
+    key = [session, "recording_id"]
+    return _top_score(pairs.select(*key, _score_of_profiles().alias("w"), F.col("ref_count").alias("n"),
+                                   F.col("ref_id").alias("id")), key)
 
 
 def _top_score(hits: DataFrame, key: list[str]) -> DataFrame:
@@ -314,29 +320,30 @@ def _best_by_subsets(tests: DataFrame, refs: DataFrame, session: str) -> DataFra
 def auto_pair(recordings: DataFrame, session: str, pair_limit: int = 250_000) -> DataFrame:
     """The unique best reference of every suppressed recording, or a refusal.
 
-    Recordings are first reduced to distinct set-ups per session. A session is
-    compared set-up by set-up while the product of its set-ups is at most
-    `pair_limit`; beyond it the subset index gives the same answer.
+    References are first reduced to distinct set-ups per session. A session's
+    tests are compared with them while that is at most `pair_limit`
+    comparisons; beyond it the subset index gives the same answer.
     """
     spelled = checkpointed(_spelled(recordings, session))
-    tests = _profiles(spelled.where("_config = 'suppressed'"), session, "test")
+    tests = spelled.where("_config = 'suppressed'").select(
+        session, "recording_id", *[F.col(f"_k_{c}").alias(f"test_{c}") for c in PROFILE])
     refs = _profiles(spelled.where("_config = 'unsuppressed'"), session, "ref")
     sizes = (tests.groupBy(session).agg(F.count("*").alias("_t"))
-             .join(refs.groupBy(session).agg(F.count("*").alias("_r")), session)
-             .withColumn("_wide", F.col("_t").cast("double") * F.col("_r") > pair_limit))
-    wide = sizes.where("_wide").select(session)
+             .join(refs.groupBy(session).agg(F.count("*").alias("_r")), session))
+    wide = sizes.where(F.col("_t").cast("double") * F.col("_r") > pair_limit).select(session)
     if wide.limit(1).count():
-        best = _best_by_join(tests.join(wide, session, "left_anti"), refs.join(wide, session, "left_anti"), session).unionByName(
-            _best_by_subsets(tests.join(wide, session, "left_semi"), refs.join(wide, session, "left_semi"), session))
+        best = _best_by_join(tests.join(wide, session, "left_anti"), refs.join(wide, session, "left_anti"), session)
+        many = tests.join(wide, session, "left_semi")
+        setups = _profiles(spelled.where("_config = 'suppressed'").join(wide, session, "left_semi"), session, "test")
+        found = _best_by_subsets(setups, refs.join(wide, session, "left_semi"), session)
+        same = many[session] == found[session]
+        for c in PROFILE:
+            same = same & many[f"test_{c}"].eqNullSafe(found[f"test_{c}"])
+        best = best.unionByName(many.join(found, same).select(many[session], "recording_id", "score", "n_best", "best_id"))
     else:
         best = _best_by_join(tests, refs, session)
     n_refs = refs.groupBy(session).agg(F.sum("ref_count").alias("_n_refs"))
-    rows = spelled.where("_config = 'suppressed'").drop("_config")
-    cond = rows[session] == best[session]
-    for c in PROFILE:
-        cond = cond & rows[f"_k_{c}"].eqNullSafe(best[f"test_{c}"])
-    out = rows.join(best, cond, "left").select(
-        rows[session], "recording_id", "score", "n_best", "best_id").join(n_refs, session, "left")
+    out = tests.select(session, "recording_id").join(best, [session, "recording_id"], "left").join(n_refs, session, "left")
     refusal = (F.when(F.col("_n_refs").isNull(), "no unsuppressed recording in the session")
                .when(F.col("score").isNull(), "every reference is disqualified")
                .when(F.col("n_best") > 1, F.concat(F.col("n_best").cast("string"), F.lit(" references match equally well"))))

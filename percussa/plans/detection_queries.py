@@ -247,7 +247,12 @@ def chosen_round(spark, sf):
     return rounded(D.choose_round(swept(spark, sf), KEY, FS))
 
 
-@query()
+ADAPTIVE_SQL = _sweep_sql("list_transform(range(11), lambda i: 15.0::DOUBLE + 3 * i)").replace(_LADDER_SQL, "(VALUES (20.0::DOUBLE, 160, 40)) AS l(refractory_ms, rr, nn)")
+
+
+@query(f"""WITH RECURSIVE {ADAPTIVE_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY n_events >= 8 DESC,
+  CASE WHEN n_events >= 8 THEN 0 ELSE -n_events END, relative_dB) AS rk FROM sweep)
+SELECT recording_id, relative_dB AS "relative_dB", n_events FROM b WHERE rk = 1""")
 def adaptive_threshold(spark, sf):
     env = envelope(spark, sf)
     rels = [15.0 + 3 * i for i in range(11)]

@@ -51,9 +51,16 @@ def tone_level(spark, sf):
     return rounded(C.tone_level(samples, KEY, sizes), 9)
 
 
-@query()
+@query(f"""WITH {B.STREAM_SQL}, s AS (SELECT recording_id, max(n) + 1 AS size FROM stream GROUP BY 1),
+m AS (SELECT t.recording_id, n, x, floor(size * 0.2::DOUBLE)::BIGINT AS lo FROM stream t JOIN s USING (recording_id) WHERE n >= floor(size * 0.2::DOUBLE) AND n < floor(size * 0.8::DOUBLE)),
+seg AS (SELECT recording_id, (n - lo) // 256 AS g, (n - lo) % 256 AS i, x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * ((n - lo) % 256) / 255)) AS y, count(*) OVER (PARTITION BY recording_id, (n - lo) // 256) AS c FROM m),
+p AS (SELECT recording_id, g, k, sum(y * cos(2 * pi() * k * i / 256)) ** 2 + sum(y * sin(2 * pi() * k * i / 256)) ** 2 AS p FROM seg, range(1, 129) u(k) WHERE c = 256 GROUP BY 1, 2, 3),
+d AS (SELECT recording_id, arg_max(k, tp) * 8000 / 256::DOUBLE AS f FROM (SELECT recording_id, k, sum(p) AS tp FROM p GROUP BY 1, 2) GROUP BY 1),
+l AS (SELECT recording_id, sqrt(avg(x * x)) AS rms FROM m GROUP BY 1)
+SELECT recording_id, {r("rms", "rms", 9)}, {r("f", "dominant_Hz")}, CASE WHEN abs(f - 1000) > 50 THEN 'dominant frequency is not the tone''s' END AS refusal,
+ {r("CASE WHEN abs(f - 1000) <= 50 THEN 20e-6::DOUBLE * power(10.0::DOUBLE, 94 / 20::DOUBLE) / rms END", "Pa_per_FS", 4)} FROM l JOIN d USING (recording_id)""")
 def calibrate_from_tone(spark, sf):
-    return rounded(C.calibrate_from_tone(plain_stream(spark, sf), KEY, FS, 1000.0, 94.0, 256))
+    return rounded(C.calibrate_from_tone(plain_stream(spark, sf), KEY, FS, 1000.0, 94.0, 256), 9, dominant_Hz=6, Pa_per_FS=4)
 
 
 @query(f"""WITH {B.STREAM_SQL}, m AS (SELECT recording_id, n // 800 AS part, sqrt(avg(x * x)) AS rms FROM stream WHERE n // 800 < 2 GROUP BY 1, 2)
@@ -242,7 +249,12 @@ def spectral_peak(spark, sf):
     return rounded(P.spectral_peak(P.stft_levels(frames(spark, sf)), ID))
 
 
-@query()
+@query(f"""WITH {B.STREAM_SQL}, fr AS (SELECT recording_id, frame, n - frame * 32 AS i, x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (n - frame * 32) / 128)) AS y,
+  count(*) OVER (PARTITION BY recording_id, frame) AS c FROM (SELECT *, unnest([n // 32, n // 32 - 1, n // 32 - 2, n // 32 - 3]) AS frame FROM stream) WHERE frame >= 0),
+b AS (SELECT recording_id, frame, k, sqrt((sum(y * cos(2 * pi() * k * i / 128)) ** 2 + sum(y * sin(2 * pi() * k * i / 128)) ** 2) * CASE WHEN k IN (0, 64) THEN 1 ELSE 2 END) / 64 AS v
+  FROM fr, range(65) u(k) WHERE c = 128 GROUP BY 1, 2, 3),
+lv AS (SELECT *, greatest({amp_sql("v")}, -20) AS level FROM b)
+SELECT recording_id, frame, {r("max(level)", "peak_dB")}, min_by(k, (-level, k)) * 62.5::DOUBLE AS "peak_Hz" FROM lv GROUP BY 1, 2""")
 def chunked_stft(spark, sf):
     out = P.stft_chunks(B.chunks(spark, sf), KEY, 64, 128, 96)
     return rounded(P.spectral_peak(P.stft_levels(out), ["recording_id", "frame"]))

@@ -13,11 +13,7 @@ from percussa.streaming import chunks as O
 
 
 def chunk_stream(spark, sf):
-    """Each window as one chunk; its number is its vec_id over the label's ten windows apart.
-
-    vec_id orders the windows of a label but is not dense, so every window is
-    its own one-chunk recording here unless the query numbers chunks itself.
-    """
+    """Each window as a recording of two chunks of 32 samples."""
     schema = B.table(spark, sf, "embeddings").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
     return raw.select(F.col("vec_id").alias("recording_id"), F.lit(0).alias("channel"), F.posexplode(F.array(
@@ -60,10 +56,15 @@ def stateful_weighting(spark, sf):
     return rounded(out.select("recording_id", "chunk_id", F.size("samples").alias("n"), L.peak("samples").alias("peak")), 9)
 
 
-@query()
+@query(f"""WITH s AS (SELECT vec_id AS recording_id, unnest(range(64)) AS n, unnest(embedding)::DOUBLE AS x FROM embeddings),
+f AS (SELECT recording_id, n // 32 AS chunk_id, frame, n % 32 - frame * 8 AS i, x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (n % 32 - frame * 8) / 16)) AS y FROM s, (VALUES (0), (2)) u(frame)
+  WHERE n % 32 >= frame * 8 AND n % 32 < frame * 8 + 16),
+b AS (SELECT recording_id, chunk_id, frame, k, sqrt((sum(y * cos(2 * pi() * k * i / 16)) ** 2 + sum(y * sin(2 * pi() * k * i / 16)) ** 2) * CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END) / 8 AS v FROM f, range(9) t(k) GROUP BY 1, 2, 3, 4)
+SELECT recording_id, chunk_id, frame::BIGINT AS frame, {r("max(v)", "peak", 9)} FROM b GROUP BY 1, 2, 3""")
 def chunk_spectrogram(spark, sf):
     frames = O.chunk_spectrogram(chunk_stream(spark, sf), 16, 8, 2)
-    return O.run_available(frames.select("recording_id", "chunk_id", "frame", F.array_max("values").alias("peak")), place(spark))
+    out = O.run_available(frames.select("recording_id", "chunk_id", "frame", F.array_max("values").alias("peak")), place(spark))
+    return rounded(out, 9)
 
 
 @query()

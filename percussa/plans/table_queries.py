@@ -7,9 +7,10 @@ from percussa.operators import display as N
 from percussa.operators import shots as G
 from percussa.operators import spectra as P
 from percussa.operators import strings as S
+from percussa.plans import analysis as A
 from percussa.plans import bindings as B
 from percussa.plans.catalog import query, r, rounded
-from percussa.plans.detection_queries import DETECT_SQL, detected
+from percussa.plans.detection_queries import DETECT_SQL, FS, HALF, HOP, POST, PRE, REFRACTORY, SNR, WINDOW, detected
 from percussa.plans.shots_queries import ID, amp_sql
 from percussa.plans.signal_queries import STFT_SQL, frames
 from percussa.plans.strings_queries import KEY, _stats_sql, _unpivot_sql
@@ -122,12 +123,16 @@ def shot_table(spark, sf):
     return W.shot_table(G.shot_metrics(B.windows(spark, sf)), ["recording_id"])
 
 
-@query()
+@query(f"""WITH {B.SHOT_RECORDS_SQL}, p AS (SELECT *, (row_number() OVER (PARTITION BY recording_id ORDER BY t_us, event_id) - 1) // 25 AS page FROM shot_records)
+SELECT recording_id, page, count(*)::INT AS n_in_page, {r("sum(level)", "sum_level", 4)}, 5 AS n_statistics FROM p GROUP BY 1, 2""")
 def run_record(spark, sf):
     shots = B.shot_records(spark, sf, number=False)
     runs = shots.groupBy(*KEY).agg(F.count("*").alias("n_shots"))
     stats = S.metric_stats(S.unpivot_metrics(shots, KEY, B.SHOT_METRICS), KEY)
-    return W.run_record(runs, shots.select("recording_id", "event_id", "Lpeak_Z", "LAE"), stats, KEY)
+    out = W.run_record(runs, shots.select("recording_id", "t_us", "event_id", "Lpeak_Z", "LAE"), stats, KEY, ["t_us", "event_id"], 25)
+    total = F.aggregate("shots", F.lit(0.0), lambda a, x: a + x["Lpeak_Z"])
+    return rounded(out.select("recording_id", "page", F.size("shots").alias("n_in_page"), total.alias("sum_level"),
+                              F.size("statistics").alias("n_statistics")), 4)
 
 
 SIZE_SQL = B.STREAM_SQL + ", sz AS (SELECT recording_id, max(n) + 1 AS size FROM stream GROUP BY 1)"
@@ -138,6 +143,10 @@ def sized(spark, sf):
     return samples, D.sizes_of(samples, KEY)
 
 
+def detection_settings():
+    return A.Detection(fs=FS, window=WINDOW, hop=HOP, refractory=REFRACTORY, pre=PRE, post=POST, half=HALF, min_snr_dB=SNR)
+
+
 def _columns_sql(c):
     return f"((n + 1) * least({c}, size) + size - 1) // size - 1"
 
@@ -156,6 +165,20 @@ def envelope_pyramid(spark, sf):
     return rounded(N.envelope_pyramid(samples, KEY, sizes, [64, 256, 1024]), 9)
 
 
+@query(f"""WITH RECURSIVE {DETECT_SQL}, c AS (SELECT recording_id, count(*) AS n_shots FROM shots GROUP BY 1)
+SELECT t.recording_id, coalesce(n_shots, 0) AS n_shots, {r("threshold_dB - " + amp_sql("1"), "threshold_dB")}, {r("peak_dB - " + amp_sql("1"), "peak_dB")},
+ least(1600, size) AS columns, NULL::VARCHAR AS problem FROM thr t JOIN sizes USING (recording_id) LEFT JOIN c USING (recording_id)""")
+def detection_preview(spark, sf):
+    out = A.preview(B.stream(spark, sf).select("recording_id", "n", "x"), KEY, detection_settings())
+    return rounded(out.select("recording_id", "n_shots", "threshold_dB", "peak_dB", "columns", "problem"))
+
+
+@query(f"""WITH RECURSIVE {DETECT_SQL} SELECT recording_id, shot_number, idx, {r("peak_level", "peak_level")} FROM shots""")
+def detect_recordings(spark, sf):
+    found = A.detect(B.stream(spark, sf).select("recording_id", "n", "x"), KEY, detection_settings())
+    return rounded(found.shots.select("recording_id", "shot_number", "idx", F.col("peak_dB").alias("peak_level")))
+
+
 @query(f"""WITH {SIZE_SQL}, v AS (SELECT o_orderkey AS view, o_orderkey % 10 AS recording_id, (o_orderkey % 50) / 1000::DOUBLE AS t0, (o_orderkey % 50) / 1000::DOUBLE + (o_orderkey % 97) / 500::DOUBLE AS t1, 10 + o_orderkey % 300 AS pixels FROM orders)
 SELECT recording_id, view, coalesce(min(c) FILTER (WHERE c * greatest(1e-9::DOUBLE, t1 - t0) / (size / 8000::DOUBLE) >= pixels), max(c)) AS columns FROM v JOIN sz USING (recording_id), (VALUES (64), (256), (1024)) l(c) GROUP BY 1, 2""")
 def pick_level(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from percussa.functions import levels as L
+from percussa.operators.ordered import numbered
 
 # Fixed list: columns of the per-shot table, with the metric behind each.
 SHOT_COLUMNS = {
@@ -72,18 +73,26 @@ def write_level_curves(curves: DataFrame, path: str) -> None:
     out.sortWithinPartitions("recording_id").write.mode("overwrite").parquet(path)
 
 
-def run_record(runs: DataFrame, shots: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """One nested document per run: its facts, its shots and its statistics.
+def run_record(runs: DataFrame, shots: DataFrame, stats: DataFrame, keys: list[str], order: list[str],
+               page: int = 10_000) -> DataFrame:
+    """Nested documents of a run: its facts, statistics and shots.
 
-    A document is what one run holds, as a reader opens it whole; long tables
-    stay the form for further work.
+    Shots come in pages of at most `page`, one document per page, so that a run
+    of any length stays a set of small documents. Statistics are one entry per
+    metric and stand in every page.
     """
-    def nested(df: DataFrame, name: str) -> DataFrame:
-        fields = [c for c in df.columns if c not in keys]
-        clean = df.select(*keys, *[L.finite(c).alias(c) if dict(df.dtypes)[c] == "double" else F.col(c) for c in fields])
-        return clean.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
-
-    out = runs.join(nested(shots, "shots"), keys, "left").join(nested(stats, "statistics"), keys, "left")
+    kinds = {**dict(shots.dtypes), **dict(stats.dtypes)}
+
+    def clean(df: DataFrame) -> DataFrame:
+        return df.select(*[L.finite(c).alias(c) if kinds[c] == "double" and c not in keys else F.col(c) for c in df.columns])
+
+    numbers = numbered(clean(shots), keys, order, "_rn").withColumn("page", F.floor((F.col("_rn") - 1) / page))
+    fields = [c for c in shots.columns if c not in keys]
+    paged = numbers.groupBy(*keys, "page").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_rn", F.struct(*fields).alias("s")))), lambda x: x["s"]).alias("shots"))
+    entries = [c for c in stats.columns if c not in keys]
+    summary = clean(stats).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*entries))).alias("statistics"))
+    out = runs.join(paged, keys, "left").join(summary, keys, "left")
     return out.withColumn("schema_version", F.lit("2.0"))
 
 
