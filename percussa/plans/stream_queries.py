@@ -5,9 +5,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from percussa.functions import levels as L
+from percussa.operators.ordered import numbered
+from percussa.plans import analysis as A
 from percussa.plans import bindings as B
 from percussa.plans.catalog import query, r, rounded
+from percussa.plans.detection_queries import DETECT_SQL
 from percussa.plans.shots_queries import pow_sql
+from percussa.plans.table_queries import detection_settings
 from percussa.session import checkpoint_root
 from percussa.streaming import chunks as O
 
@@ -56,6 +60,23 @@ def stateful_weighting(spark, sf):
     return rounded(out.select("recording_id", "chunk_id", F.size("samples").alias("n"), L.peak("samples").alias("peak")), 9)
 
 
+@query(f"""WITH RECURSIVE {DETECT_SQL} SELECT recording_id, shot_number, idx, {r("peak_level", "peak_level")} FROM shots""")
+def two_pass_detection(spark, sf):
+    schema = B.table(spark, sf, "embeddings").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
+    stream = raw.select(F.col("label").alias("recording_id"), F.lit(0).alias("channel"), F.col("vec_id").alias("chunk_id"),
+                        F.col("embedding").cast("array<double>").alias("samples"))
+
+    def detect(stored):
+        ranked = numbered(stored, ["recording_id"], ["chunk_id"], "_rank")
+        chunk = F.col("_rank") - 1
+        loud = ranked.select("recording_id", chunk.alias("chunk_id"), L.scaled("samples", F.pow(F.lit(10.0), (chunk % 7) * -0.4)).alias("samples"))
+        return A.detect(A.long_samples(loud, ["recording_id"], 64), ["recording_id"], detection_settings()).shots
+
+    shots = O.two_pass(stream, place(spark), detect)
+    return rounded(shots.select("recording_id", "shot_number", "idx", F.col("peak_dB").alias("peak_level")))
+
+
 @query(f"""WITH s AS (SELECT vec_id AS recording_id, unnest(range(64)) AS n, unnest(embedding)::DOUBLE AS x FROM embeddings),
 f AS (SELECT recording_id, n // 32 AS chunk_id, frame, n % 32 - frame * 8 AS i, x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (n % 32 - frame * 8) / 16)) AS y FROM s, (VALUES (0), (2)) u(frame)
   WHERE n % 32 >= frame * 8 AND n % 32 < frame * 8 + 16),

@@ -193,3 +193,13 @@ def run_available(stream: DataFrame, path: str, mode: str = "append", pick: Call
              .trigger(availableNow=True).foreachBatch(save).start())
     query.awaitTermination()
     return stream.sparkSession.read.parquet(f"{path}/out")
+
+
+def two_pass(stream: DataFrame, path: str, detect: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Detection over a stream: thresholds are global, so chunks are stored first and looked at after.
+
+    Pass one writes the chunks as they come, dropping repeats; pass two runs
+    `detect` over the stored table.
+    """
+    stored = run_available(stream, path)
+    return detect(stored.dropDuplicates([*KEYS, "chunk_id"]))
