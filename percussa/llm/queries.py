@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from percussa.llm.common import table
+from percussa.llm.minhash_join import near_duplicates
 from percussa.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict = {}
@@ -27,3 +28,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_minhash_join")
+def op3_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=75)
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
