@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from percussa.llm.common import table
 from percussa.llm.minhash_join import near_duplicates
+from percussa.llm.quality_rules import quality_rules
 from percussa.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict = {}
@@ -34,3 +35,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=75)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      "kept", "lang", "source", "distance")
