@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from percussa.llm.common import table
 from percussa.llm.minhash_join import near_duplicates
+from percussa.llm.order_minhash import edited_fingerprints
 from percussa.llm.quality_rules import quality_rules
 from percussa.llm.suffix_dedup import suffix_dedup
 
@@ -42,3 +43,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       "kept", "lang", "source", "distance")
+
+
+@query("op2_order_minhash")
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
