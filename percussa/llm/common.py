@@ -95,18 +95,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def local_path(uri: str) -> str:
-    """A path without its file scheme."""
-    return uri[len("file:"):] if uri.startswith("file:/") and not uri.startswith("file://") else uri.removeprefix("file://")
+def file_system(folder: str):
+    """File system and path of a shared folder, for tasks that write or read files of their own formats."""
+    from pyarrow import fs
 
+    plain = folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder
+    return fs.FileSystem.from_uri(plain if "://" in plain else "file://" + os.path.abspath(plain))
 
-def write_file(folder: str, name: str, data: bytes) -> None:
-    """Write one file whole: under a name of this attempt first, then moved, so that a repeated task does no harm."""
-    from pyarrow import fs
 
-    where, base = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(local_path(folder)))
+def write_file(folder: str, stem: str, data: bytes) -> str:
+    """Write one file under a name that no other attempt uses, and return its name.
+
+    Only the names that a finished task reports count, so a repeated or lost task does no harm.
+    """
+    where, base = file_system(folder)
     where.create_dir(base, recursive=True)
-    part = f"{base}/.{name}.{uuid.uuid4().hex}"
-    with where.open_output_stream(part) as out:
+    name = f"{stem}-{uuid.uuid4().hex}"
+    with where.open_output_stream(f"{base}/{name}", compression=None) as out:
         out.write(data)
-    where.move(part, f"{base}/{name}")
+    return f"{folder.rstrip('/')}/{name}"

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from percussa.llm.common import table
 from percussa.llm.minhash_join import near_duplicates
+from percussa.llm.mixing import mix
 from percussa.llm.order_minhash import edited_fingerprints
 from percussa.llm.quality_rules import quality_rules
 from percussa.llm.suffix_dedup import suffix_dedup
+from percussa.llm.warc import archived
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +50,29 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_order_minhash")
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    worth = labels.groupBy(F.col("doc_id").alias("of")).agg((F.lit(0.5) + F.max("quality")).alias("worth"))
+    out = mix(docs.join(worth, F.col("doc_id") == F.col("of"), "left"), quality="worth")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
+
+
+@query("op10_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT hex, max(page_id) AS holder FROM p WHERE page_id IS NOT NULL GROUP BY hex),
+bits AS (SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    (CASE WHEN n % 4 = 0 THEN ('0x' || substr(hex, 1 + 5 * (n // 4), 5))::BIGINT >> 15
+          WHEN n % 4 = 1 THEN ('0x' || substr(hex, 1 + 5 * (n // 4), 5))::BIGINT >> 10
+          WHEN n % 4 = 2 THEN ('0x' || substr(hex, 1 + 5 * (n // 4), 5))::BIGINT >> 5
+          ELSE ('0x' || substr(hex, 1 + 5 * (n // 4), 5))::BIGINT END) % 32 AS INTEGER), 1), '' ORDER BY n) AS b32
+  FROM (SELECT DISTINCT hex FROM p), (SELECT unnest(range(32)) AS n) GROUP BY hex)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, b32 AS payload_digest,
+       CASE WHEN page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM p LEFT JOIN d USING (hex) JOIN bits USING (hex)""")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archived(spark, table(spark, sf_dir, "pages"), least_bytes=0, payloads=False)
+    return out.where(F.col("problem").isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -29,11 +29,21 @@ from percussa.llm.common import mix64, packed, pieces_of, slices, total_bytes, w
 from percussa.llm.suffixes import common_prefixes, suffix_array
 
 SHARD = 3 << 20       # bytes of text in a shard
-GRAM = 16             # bytes of an anchor
+GRAM = 24             # bytes of an anchor; long enough that few unlike windows share one
 SLICE = 1 << 20       # bytes hashed at a time
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def _rolled(at8: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the `length` bytes at each of the places; bytes behind the end count as zeros."""
+    out = np.zeros(len(places), np.uint64)
+    last = len(at8) - 1
+    for step in sorted({*range(0, length - 7, 8), length - 8}):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + at8[np.minimum(places + step, last)]
+        out ^= out >> np.uint64(29)
+    return mix64(out)
+
+
 def _anchors(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     """For each position the anchor of the window that starts there; NONE where it would leave its document."""
     n = len(data)
@@ -41,10 +51,7 @@ def _anchors(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     span = length - GRAM + 1
     for begin in range(0, n, SLICE):
         part = data[begin:begin + SLICE + length]
-        at8 = words64(part)
-        best = at8 * np.uint64(0x9E3779B97F4A7C15)
-        best[:-8] ^= at8[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        best = mix64(best)
+        best = _rolled(words64(part), np.arange(len(part)), GRAM)
         width = 1
         while width * 2 <= span:
             best[:len(best) - width] = np.minimum(best[:len(best) - width], best[width:])
@@ -57,10 +64,24 @@ def _anchors(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     begins = np.concatenate([[0], ends[:-1]])
     tail = np.minimum(length - 1, ends - begins)
     many = np.repeat(ends - tail, tail) + (np.arange(tail.sum()) - np.repeat(np.cumsum(tail) - tail, tail))
+    whole = out != NONE
+    out &= np.uint64((1 << 48) - 1)
+    out[~whole] = NONE
     out[many] = NONE
     return out
 
 
+def _narrow(anchors: np.ndarray) -> bytes:
+    """Anchors in the 6 bytes that they have."""
+    return anchors.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
+
+
 def _rows_in_order(shard: pa.Table) -> pa.Table:
     return shard.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
@@ -121,10 +142,10 @@ def suffix_dedup(docs: DataFrame, length: int = 50, shard_bytes: int = SHARD) ->
         found = found[order]
         return pa.table({
             "bucket": pa.array(held, pa.int64()), "shard": pa.array(np.full(len(held), key[0].as_py()), pa.int64()),
-            "anchors": pa.array([found[a:b].tobytes() for a, b in zip(begin, begin[1:])], pa.binary())})
+            "anchors": pa.array([_narrow(found[a:b]) for a, b in zip(begin, begin[1:])], pa.binary())})
 
     def shared_anchors(bucket):
-        lists = [np.frombuffer(x, np.uint64) for x in bucket.column("anchors").to_pylist()]
+        lists = [_wide(x) for x in bucket.column("anchors").to_pylist()]
         owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         every = np.concatenate(lists)
         order = np.argsort(every, kind="stable")
@@ -140,7 +161,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, shard_bytes: int = SHARD) ->
         names = np.asarray(bucket.column("shard"))
         begin = np.concatenate([begin, [len(owner)]])
         return pa.table({"shard": pa.array(names[who], pa.int64()),
-                         "anchors": pa.array([every[a:b].tobytes() for a, b in zip(begin, begin[1:])], pa.binary())})
+                         "anchors": pa.array([_narrow(every[a:b]) for a, b in zip(begin, begin[1:])], pa.binary())})
 
     def settle(key, shard, shared):
         name = key[0].as_py()
@@ -148,7 +169,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, shard_bytes: int = SHARD) ->
         rank = np.unique(ids, return_inverse=True)[1] if len(ids) else np.zeros(0, np.int64)
         first, count, doc = _runs(anchors, offsets)
         value = anchors[first]
-        elsewhere = np.unique(np.frombuffer(b"".join(shared.column("anchors").to_pylist()), np.uint64))
+        elsewhere = np.unique(_wide(b"".join(shared.column("anchors").to_pylist())))
         at = np.minimum(np.searchsorted(elsewhere, value), max(len(elsewhere) - 1, 0))
         far = elsewhere[at] == value if len(elsewhere) else np.zeros(len(value), bool)
         order = np.lexsort((rank[doc], value)) if len(value) else np.zeros(0, np.int64)
@@ -306,40 +327,36 @@ def suffix_dedup(docs: DataFrame, length: int = 50, shard_bytes: int = SHARD) ->
 def _held_by_smaller(text: np.ndarray, where: np.ndarray, owner: np.ndarray, lot: np.ndarray, length: int) -> np.ndarray:
     """Which windows (at `where` in `text`) also lie in a document with a smaller id.
 
-    The shards' windows are sorted by their bytes, 8 at a time, as far as ties remain; binary search then gives each
-    window the stretch of its equals in the merged order, and the least id of that stretch decides.
+    The windows of each lot (a shard) are sorted by a hash of their bytes; the sorted runs are merged, and binary search
+    places each run in the merged order, where the least id of equal windows stands. Bytes then confirm each match; if
+    two different windows ever have one hash, the bytes themselves take its place.
     """
-    at8 = words64(text).byteswap()
-    group = np.zeros(len(where), np.int64)
-    steps = list(range(0, length - 7, 8))
-    if steps[-1] + 8 < length:
-        steps.append(length - 8)
-    live = np.arange(len(where))
-    base = 0
-    final = np.full(len(where), -1, np.int64)
-    for step in steps:
-        if not len(live):
-            break
-        word = at8[where[live] + step]
-        if step == 0:
-            merged = np.sort(word)
-            number = np.searchsorted(merged, word)
-        else:
-            order = np.lexsort((word, group[live]))
-            g, w = group[live][order], word[order]
-            new = np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])
-            number = np.empty(len(live), np.int64)
-            number[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
-        # Windows that are alone with their number are settled: nothing equals them.
-        size = np.bincount(number, minlength=len(live))
-        alone = size[number] == 1
-        final[live[alone]] = base + number[alone]
-        group[live] = number
-        base += len(live)
-        live = live[~alone]
-    final[live] = base + group[live]
-    order = np.argsort(final, kind="stable")
-    f, o = final[order], owner[order]
-    first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-    least = np.minimum.reduceat(o, first)
-    return owner > least[np.searchsorted(f[first], final)]
+    at8 = words64(text)
+    key = _rolled(at8, where, length)
+    edges = np.flatnonzero(np.concatenate([[True], lot[1:] != lot[:-1], [True]]))
+    order = np.concatenate([a + np.argsort(key[a:b]) for a, b in zip(edges, edges[1:])])
+    merged = np.sort(key[order], kind="stable")
+    merged = merged[np.concatenate([[True], merged[1:] != merged[:-1]])]
+    place = np.empty(len(key), np.int64)
+    place[order] = np.searchsorted(merged, key[order])
+    least = np.full(len(merged), np.iinfo(np.int64).max)
+    np.minimum.at(least, place, owner)
+    hidden = owner > least[place]
+    holder = np.empty(len(merged), np.int64)
+    mine = np.flatnonzero(~hidden)
+    holder[place[mine]] = where[mine]
+    hit = np.flatnonzero(hidden)
+    for step in sorted({*range(0, length - 7, 8), length - 8}):
+        if (at8[where[hit] + step] != at8[holder[place[hit]] + step]).any():
+            return _held_by_bytes(text, where, owner, length)
+    return hidden
+
+
+def _held_by_bytes(text: np.ndarray, where: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """The same by the bytes of the windows alone."""
+    least: dict[bytes, int] = {}
+    whole = text.tobytes()
+    for at, who in zip(where.tolist(), owner.tolist()):
+        window = whole[at:at + length]
+        least[window] = min(who, least.get(window, who))
+    return np.array([who > least[whole[at:at + length]] for at, who in zip(where.tolist(), owner.tolist())], bool)
