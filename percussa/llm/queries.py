@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from percussa.llm.mixing import mix
 from percussa.llm.order_minhash import edited_fingerprints
 from percussa.llm.quality_rules import quality_rules
 from percussa.llm.suffix_dedup import suffix_dedup
+from percussa.llm.token_codes import coded
 from percussa.llm.warc import archived
 
 QUERIES: dict = {}
@@ -76,3 +78,8 @@ FROM p LEFT JOIN d USING (hex) JOIN bits USING (hex)""")
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archived(spark, table(spark, sf_dir, "pages"), least_bytes=0, payloads=False)
     return out.where(F.col("problem").isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_token_codes")
+def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
