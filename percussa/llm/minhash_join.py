@@ -5,10 +5,10 @@
 2. Every node is posted under each (coordinate, value). Values that one node alone has are counted, not kept.
 3. Nodes that agree on MATCHES coordinates share one of the COORDINATES - MATCHES + 1 rarest postings of either, so only
    that prefix of a node's postings, rarest first, brings candidates. A passage that many documents hold is never rare.
-4. A posting names one pivot, and its members are paired with it; agreement of whole signatures and set sizes skips most
-   pairs; what is left is confirmed on full sets. Pairs inside one component are never looked at again, so a large group
-   of copies costs about one pair a member. Two such rounds are followed by all pairs that still join two components.
-5. Components are settled by least labels.
+4. A posting names its most central member as pivot, and the others are paired with it; agreement of whole signatures
+   and set sizes skips most pairs; what is left is confirmed on full sets, and components are settled by least labels.
+5. Members of a pivot's neighbourhood that lie in different components are then held against each other in blocks,
+   signatures first, full sets after. Pairs inside one component are never looked at, and no pair is ever a row.
 
 With a similarity of 0.75 a pair agrees on 30 of 40 coordinates on average; fewer than 15 has a chance below 1e-6.
 
@@ -30,6 +30,7 @@ from percussa.llm.common import mix64, packed, slices, stored
 
 COORDINATES = 40
 MATCHES = 15
+BLOCK = 256
 SLICE = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -197,52 +198,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, coordina
     shared = postings.groupBy("token").count().where("count > 1")
     listed = postings.join(shared, "token").groupBy("node", "size").agg(
         F.sort_array(F.collect_list(F.struct("count", "token"))).alias("tokens"))
+    # A document whose values many others share lies in the middle of its group of copies.
+    central = F.aggregate("tokens", F.lit(0.0), lambda total, t: total + F.log(t["count"]))
     prefix = listed.where(F.size("tokens") >= matches).select(
-        "node", "size", F.explode(F.slice("tokens", 1, F.size("tokens") - (matches - 1))).alias("t")).select(
-        "node", "size", F.col("t.token").alias("token"))
+        "node", "size", central.alias("central"),
+        F.explode(F.slice("tokens", 1, F.size("tokens") - (matches - 1))).alias("t")).select(
+        "node", "size", "central", F.col("t.token").alias("token"))
     prefix = stored(prefix, "prefix")
     busy = prefix.select("node").distinct()
     texts = every.join(busy, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = stored(sets_of(docs.join(texts, "doc_id").select("node", "text"), width), "sets")
     signs = nodes.select("node", "signature")
-    labels, links, tested = None, None, None
-
-    def judge(pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs that were not judged before."""
-        nonlocal tested
-        pairs = pairs.where(
-            (F.lit(100) * F.least("a_size", "b_size") >= F.lit(percent) * F.greatest("a_size", "b_size")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        close = (pairs.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a")
-                 .join(signs.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
-                 .where(_agreeing(F.col("x"), F.col("y")) >= matches).select("a", "b"))
-        close = stored(close, "close")
-        tested = close if tested is None else tested.unionByName(close)
-        return stored(_confirmed(close, sets, percent), "links")
-
-    for turn in range(2):
-        now = prefix if labels is None else _open_lists(prefix.join(labels, "node"))
-        order = [F.xxhash64("node", F.lit(turn)), F.col("node").alias("a"), F.col("size").alias("a_size")]
-        if labels is not None:
-            order.append(F.col("label").alias("a_label"))
-        pivots = now.groupBy("token").agg(F.min(F.struct(*order)).alias("p")).select("token", "p.*")
-        pairs = now.select("token", F.col("node").alias("b"), F.col("size").alias("b_size"),
-                           *([F.col("label").alias("b_label")] if labels is not None else [])).join(pivots, "token")
-        pairs = pairs.where("a != b" if labels is None else "a_label != b_label")
-        found = judge(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(busy, links)
-    # All pairs that still join two components: members outside a list's commonest component with all others.
-    left = stored(_open_lists(prefix.join(labels, "node")), "open")
-    common = left.groupBy("token", "label").count().groupBy("token").agg(
-        F.max_by("label", F.struct("count", "label")).alias("common"))
-    few = left.join(common, "token").where("label != common").select(
-        "token", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("label").alias("a_label"))
-    pairs = few.join(left.select("token", F.col("node").alias("b"), F.col("size").alias("b_size"),
-                                 F.col("label").alias("b_label")), "token").where("a_label != b_label")
-    found = judge(pairs)
+    # A posting's pivot is its most central member; the pairs (pivot, member) are the first candidates.
+    middle = F.struct(-F.col("central"), F.col("node").alias("pivot"), F.col("size").alias("pivot_size"))
+    pivots = prefix.groupBy("token").agg(F.min(middle).alias("p")).select("token", "p.pivot", "p.pivot_size")
+    near = stored(prefix.join(pivots, "token").select("pivot", "pivot_size", "node", "size").distinct(), "near")
+    pairs = near.where((F.col("pivot") != F.col("node")) & (
+        F.lit(100) * F.least("pivot_size", "size") >= F.lit(percent) * F.greatest("pivot_size", "size")))
+    signs = nodes.select("node", F.col("signature"))
+    close = (pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+             .join(signs.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a")
+             .join(signs.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
+             .where(_agreeing(F.col("x"), F.col("y")) >= matches).select("a", "b"))
+    links = stored(_confirmed(close, sets, percent), "links")
+    labels = components(busy, links)
+    found = stored(_between(near.select("pivot", "node", "size").join(labels, "node"), signs, sets, percent, matches), "links")
     if found.limit(1).count():
         labels = components(busy, links.unionByName(found))
     least = nodes.join(labels, "node").groupBy("label").agg(F.min("least_id").alias("least_id"))
@@ -252,7 +232,64 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, coordina
             .select("doc_id", "n_shingles", F.coalesce("component_id", "least_id", "doc_id").alias("component_id")))
 
 
-def _open_lists(members: DataFrame) -> DataFrame:
-    """Postings (token, node, size, label) of tokens whose members lie in more than one component."""
-    several = members.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    return members.join(several.select("token"), "token")
+def _between(members: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Links between different components inside the neighbourhood of a pivot, from (pivot, node, size, label).
+
+    Any two nodes that share a posting share its pivot. The members of a neighbourhood outside its commonest component
+    are held against all others, in blocks of BLOCK nodes, so no pair is a row: signatures first tell which nodes have a
+    likely partner at all, then full sets decide. Members of the commonest component are never held against each other.
+    """
+    counted = members.groupBy("pivot", "label").count()
+    common = counted.groupBy("pivot").agg(F.max_by("label", F.struct("count", "label")).alias("common"),
+                                          F.max("count").alias("most"), F.sum("count").alias("n")).where("most < n")
+    told = members.join(common, "pivot").withColumns({
+        "in": F.col("label") == F.col("common"), "blocks_in": F.ceil(F.col("most") / BLOCK).cast("int"),
+        "blocks_out": F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")})
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("in"), F.col("blocks_in")).otherwise(F.col("blocks_out"))).cast("int")
+    outs = F.sequence(F.lit(0), F.col("blocks_out") - 1)
+    ins = F.sequence(F.lit(0), F.col("blocks_in") - 1)
+    mine = F.when(F.col("in"), F.transform(outs, lambda o: F.struct(
+        o.alias("i"), F.col("block").alias("j"), F.lit(False).alias("alike")))).otherwise(F.concat(
+            F.transform(outs, lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"),
+                                                 F.lit(True).alias("alike"))),
+            F.transform(ins, lambda d: F.struct(F.col("block").alias("i"), d.alias("j"), F.lit(False).alias("alike")))))
+    placed = told.withColumn("block", block).select("pivot", "node", "size", "label", F.explode(mine).alias("task"))
+    cell = ["pivot", "task"]
+
+    def likely(table):
+        kind = np.array([table.column("signature")[k].as_py() for k in range(len(table))], np.uint32)
+        label = np.unique(table.column("label").to_pylist(), return_inverse=True)[1]
+        size = np.asarray(table.column("size"))
+        take = np.zeros(len(table), bool)
+        for k in range(len(table)):
+            agree = (kind == kind[k]).sum(axis=1) >= matches
+            good = agree & (label != label[k]) & (100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k]))
+            take[k] = good.any()
+        return table.select(["pivot", "task", "node", "label"]).filter(pa.array(take))
+
+    def linked(table):
+        found = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+        names = table.column("node").to_pylist()
+        label = np.unique(table.column("label").to_pylist(), return_inverse=True)[1]
+        sizes = np.array([len(x) for x in found])
+        starts = np.cumsum(sizes) - sizes
+        values, place = np.unique(np.concatenate(found), return_inverse=True)
+        has = np.zeros(len(values), bool)
+        a, b = [], []
+        for k in range(len(names)):
+            own = place[starts[k]:starts[k] + sizes[k]]
+            has[own] = True
+            both = np.add.reduceat(has[place], starts)
+            has[own] = False
+            good = (100 * both >= percent * (sizes + sizes[k] - both)) & (label != label[k])
+            for m in np.flatnonzero(good):
+                if label[m] != label[k]:
+                    # One link joins two components; their other pairs add nothing.
+                    a.append(names[k])
+                    b.append(names[m])
+                    label[label == label[m]] = label[k]
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    fields = "pivot binary, task struct<i:int,j:int,alike:boolean>, node binary, label binary"
+    hopeful = placed.join(signs, "node").groupBy(*cell).applyInArrow(likely, fields)
+    return hopeful.join(sets, "node").groupBy(*cell).applyInArrow(linked, "a binary, b binary")

@@ -30,8 +30,10 @@ from percussa.llm.common import file_system, pieces_of, scratch, stored, write_f
 
 FILE = 4 << 20            # tokens in a file
 BLOCK = 512               # bits between two entries of a rank directory
-PIECES = 200_000          # pieces that a worker keeps
+PIECES = 400_000          # pieces that a worker keeps
 MAGIC = b"DACs0001"
+JOINED = 4096             # pieces encoded at a time
+_WHOLE = re.compile(r" [!-~À-ÿ](?:[^\s]*[!-~À-ÿ])?")
 _CUT = re.compile(r"(?<=[!-~À-ÿ]) (?=[!-~À-ÿ])")
 
 
@@ -135,6 +137,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.kept, self.seen = kept, {}
+        # Joining pieces needs a tokenizer with one id for a line feed.
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else -1
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = []
@@ -146,8 +151,17 @@ class Encoder:
         if len(seen) > self.kept:
             seen.clear()
         new = list({x for parts in cut for x in parts if x not in seen})
-        for begin in range(0, len(new), 4096):
-            some = new[begin:begin + 4096]
+        whole = [x for x in new if _WHOLE.fullmatch(x)]
+        for begin in range(0, len(whole), JOINED):
+            # A line feed between two pieces is a token of its own; one call then encodes many pieces.
+            some = whole[begin:begin + JOINED]
+            ids = np.array(self.tokenizer.encode("\n".join(some) + "\n", add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(ids == self.feed)
+            if len(ends) == len(some):
+                seen.update(zip(some, (x[1:].tobytes() if k else x.tobytes() for k, x in enumerate(np.split(ids, ends)))))
+        left = [x for x in new if x not in seen]
+        for begin in range(0, len(left), JOINED):
+            some = left[begin:begin + JOINED]
             for x, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
                 seen[x] = np.array(e.ids, self.kind).tobytes()
         return [b"".join([seen[x] for x in parts]) for parts in cut]
