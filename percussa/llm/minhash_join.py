@@ -253,8 +253,8 @@ def _between(members: DataFrame, signs: DataFrame, sets: DataFrame, percent: int
             F.transform(outs, lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"),
                                                  F.lit(True).alias("alike"))),
             F.transform(ins, lambda d: F.struct(F.col("block").alias("i"), d.alias("j"), F.lit(False).alias("alike")))))
-    placed = told.withColumn("block", block).select("pivot", "node", "size", "label", F.explode(mine).alias("task"))
-    cell = ["pivot", "task"]
+    placed = told.withColumn("block", block).select("pivot", "node", "size", "label", F.inline(mine))
+    cell = ["pivot", "i", "j", "alike"]
 
     def likely(table):
         kind = np.array([table.column("signature")[k].as_py() for k in range(len(table))], np.uint32)
@@ -265,7 +265,7 @@ def _between(members: DataFrame, signs: DataFrame, sets: DataFrame, percent: int
             agree = (kind == kind[k]).sum(axis=1) >= matches
             good = agree & (label != label[k]) & (100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k]))
             take[k] = good.any()
-        return table.select(["pivot", "task", "node", "label"]).filter(pa.array(take))
+        return table.select([*cell, "node", "label"]).filter(pa.array(take))
 
     def linked(table):
         found = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
@@ -290,6 +290,6 @@ def _between(members: DataFrame, signs: DataFrame, sets: DataFrame, percent: int
                     label[label == label[m]] = label[k]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    fields = "pivot binary, task struct<i:int,j:int,alike:boolean>, node binary, label binary"
+    fields = "pivot binary, i int, j int, alike boolean, node binary, label binary"
     hopeful = placed.join(signs, "node").groupBy(*cell).applyInArrow(likely, fields)
     return hopeful.join(sets, "node").groupBy(*cell).applyInArrow(linked, "a binary, b binary")
