@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from percussa.llm.common import table
+from percussa.llm.line_dedup import line_dedup
 from percussa.llm.minhash_join import near_duplicates
 from percussa.llm.mixing import mix
 from percussa.llm.order_minhash import edited_fingerprints
@@ -83,3 +84,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_codes")
 def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@query("op4_line_dedup")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"), width=5, percent=75)
+    return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines",
+                      F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
