@@ -11,6 +11,7 @@ from percussa.llm.line_dedup import line_dedup
 from percussa.llm.minhash_join import near_duplicates
 from percussa.llm.mixing import mix
 from percussa.llm.order_minhash import edited_fingerprints
+from percussa.llm.pieces import encode
 from percussa.llm.quality_rules import quality_rules
 from percussa.llm.suffix_dedup import suffix_dedup
 from percussa.llm.token_codes import coded
@@ -91,3 +92,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"), width=5, percent=75)
     return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines",
                       F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_pieces")
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")),
+                 public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
