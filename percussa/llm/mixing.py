@@ -64,13 +64,21 @@ def _same(a: str, b: str) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most_epochs: float = 3.0,
-        quality: str | None = None, seed: int = 17, cells: int = CELLS) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs (how often the mix takes the document) and taken (words)."""
-    worth = F.lit(1.0) if quality is None else F.greatest(F.coalesce(F.col(f"`{quality}`").cast("double"), F.lit(1.0)), F.lit(LEAST_QUALITY))
-    rows = docs.select(
-        F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"),
-        (-F.ln(uniform(seed, F.col("doc_id"))) / worth).alias("key"), F.xxhash64("text").alias("tie"))
-    rows = stored(rows, "sizes")
+        quality: DataFrame | None = None, seed: int = 17, cells: int = CELLS) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs (how often the mix takes the document) and taken (words).
+
+    `quality` has one row (doc_id, quality) for each document that has a weight.
+    """
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"),
+                       F.xxhash64("text").alias("tie"))
+    worth = F.lit(1.0)
+    if quality is not None:
+        # Texts are left behind before the join.
+        rows = rows.join(quality.select(F.col("doc_id").alias("of"), F.col("quality").cast("double").alias("quality")),
+                         F.col("doc_id") == F.col("of"), "left")
+        worth = F.greatest(F.coalesce("quality", F.lit(1.0)), F.lit(LEAST_QUALITY))
+    rows = stored(rows.select("doc_id", "source", "size", "tie",
+                              (-F.ln(uniform(seed, F.col("doc_id"))) / worth).alias("key")), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sizes, weights, share, most_epochs).withColumn(
         "full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))

@@ -59,8 +59,7 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_mixing")
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    worth = labels.groupBy(F.col("doc_id").alias("of")).agg((F.lit(0.5) + F.max("quality")).alias("worth"))
-    out = mix(docs.join(worth, F.col("doc_id") == F.col("of"), "left"), quality="worth")
+    out = mix(docs, quality=labels.groupBy("doc_id").agg((F.lit(0.5) + F.max("quality")).alias("quality")))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
