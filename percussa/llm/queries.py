@@ -15,6 +15,7 @@ from percussa.llm.pieces import encode
 from percussa.llm.quality_rules import quality_rules
 from percussa.llm.suffix_dedup import suffix_dedup
 from percussa.llm.token_codes import coded
+from percussa.llm.toxicity import toxicity
 from percussa.llm.warc import archived
 
 QUERIES: dict = {}
@@ -99,3 +100,13 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                  public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def held_out(doc_id):
+        return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    out = toxicity(table(spark, sf_dir, "documents"), labels, "toxic", threshold=0.3)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
