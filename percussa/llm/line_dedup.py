@@ -124,9 +124,10 @@ def line_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
 def _cut(docs: DataFrame, removed: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("text", "n_lines", "removed_lines")]
     out = docs.join(removed, docs["doc_id"].cast("long").eqNullSafe(removed["of"]), "left")
-    left = let(F.col("removed_lines"), lambda gone: F.array_join(F.filter(
+    found = removed["removed_lines"]
+    left = let(found, lambda gone: F.array_join(F.filter(
         F.split(docs["text"], "\n", -1), lambda line, i: ~F.array_contains(gone, i)), "\n"))
     return out.select(*[docs[f"`{c}`"] for c in kept],
-                      F.when(F.col("removed_lines").isNull(), docs["text"]).otherwise(left).alias("text"),
+                      F.when(found.isNull(), docs["text"]).otherwise(left).alias("text"),
                       F.size(F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
-                      F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
+                      F.coalesce(found, F.array().cast("array<int>")).alias("removed_lines"))

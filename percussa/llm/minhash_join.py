@@ -14,7 +14,8 @@ With a similarity of 0.75 a pair agrees on 30 of 40 coordinates on average; fewe
 
 Defined cases: NULL, empty and blank texts have no set, stand alone and are kept; with fewer words than a shingle the
 whole sequence is the one shingle; rows that repeat a doc_id belong to the component of their own text; a row without
-doc_id links nothing and gets the component of documents with the same set, else NULL; extra columns are dropped; an empty table gives an empty result.
+doc_id links nothing and gets the component of documents with the same set, else NULL; extra columns are dropped; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,12 +69,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[
         part = data[offsets[a]:offsets[b]]
         ends = offsets[a:b + 1] - offsets[a]
         word = ~gap[part]
-        before = np.concatenate([[False], word[:-1]])
+        before = np.concatenate([[False], word])[:-1]
         heads = np.zeros(len(part) + 1, bool)
         heads[ends] = True
         before &= ~heads[:-1]
         begin = np.flatnonzero(word & ~before)
-        after = np.concatenate([word[1:], [False]]) & ~heads[1:]
+        after = np.concatenate([word, [False]])[1:] & ~heads[1:]
         end = np.flatnonzero(word & ~after) + 1
         total = np.concatenate([[np.uint64(0)], np.cumsum(values[part] * up[:len(part)], dtype=np.uint64)])
         hashes = mix64((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))

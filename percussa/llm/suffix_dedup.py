@@ -53,11 +53,11 @@ def _anchors(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
         part = data[begin:begin + SLICE + length]
         best = _rolled(words64(part), np.arange(len(part)), GRAM)
         width = 1
-        while width * 2 <= span:
-            best[:len(best) - width] = np.minimum(best[:len(best) - width], best[width:])
-            width *= 2
-        if span > width:
-            best[:len(best) - (span - width)] = np.minimum(best[:len(best) - (span - width)], best[span - width:])
+        while width < span:
+            ahead = min(width, span - width)
+            rest = max(0, len(best) - ahead)
+            best[:rest] = np.minimum(best[:rest], best[ahead:])
+            width += ahead
         m = min(SLICE, n - begin)
         out[begin:begin + m] = best[:m]
     # The last length - 1 starts of each document have no whole window.
