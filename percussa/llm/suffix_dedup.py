@@ -117,6 +117,19 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Bytes or integers, compressed; integers by their differences."""
+    if values.dtype == np.uint8:
+        return b"b" + len(values).to_bytes(8, "little") + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+    steps = np.diff(values.astype(np.int64), prepend=0)
+    return b"i" + steps.nbytes.to_bytes(8, "little") + pa.compress(steps.tobytes(), codec="zstd", asbytes=True)
+
+
+def _opened(data: bytes) -> np.ndarray:
+    plain = pa.decompress(data[9:], int.from_bytes(data[1:9], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(plain, np.uint8) if data[:1] == b"b" else np.cumsum(np.frombuffer(plain, np.int64))
+
+
 def _bucket_rows(values: np.ndarray, buckets: int):
     """Order of `values` by bucket and where each bucket's part begins."""
     bucket = (values % np.uint64(buckets)).astype(np.int64)
@@ -131,7 +144,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, shard_bytes: int = SHARD) ->
         raise ValueError(f"length must be at least {GRAM + 8}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = pieces_of(total_bytes(docs, "text"), shard_bytes)
-    buckets = max(1, shards // 4)
+    buckets = shards
     dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
 
     def anchors_of(key, shard):
@@ -239,8 +252,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, shard_bytes: int = SHARD) ->
                 p, many, run = p[order], many[order], run[order]
                 who = ids[doc[run]]
                 for b, x, y in zip(held, at, at[1:]):
-                    add(int(b), b"", who[x:y].tobytes(), p[x:y].tobytes(), many[x:y].astype(np.int32).tobytes(),
-                        data[_spread(p[x:y], many[x:y] + length - 1)].tobytes())
+                    add(int(b), b"", _squeezed(who[x:y]), _squeezed(p[x:y]), _squeezed(many[x:y]),
+                        _squeezed(data[_spread(p[x:y], many[x:y] + length - 1)]))
         return pa.table(rows, schema=pieces_schema)
 
     def merge(bucket):
@@ -255,14 +268,14 @@ def suffix_dedup(docs: DataFrame, length: int = 50, shard_bytes: int = SHARD) ->
             out_bits.append(b"")
         lots = [k for k, x in enumerate(own) if not x]
         if lots:
-            column = lambda c, kind: [np.frombuffer(bucket.column(c)[k].as_py(), kind) for k in lots]
-            ids, counts, texts = column("ids", np.int64), column("counts", np.int32), column("text", np.uint8)
-            count = np.concatenate(counts).astype(np.int64)
+            ids, counts, texts = ([_opened(bucket.column(c)[k].as_py()) for k in lots] for c in ("ids", "counts", "text"))
+            count = np.concatenate(counts)
             text = np.concatenate(texts)
             into = np.cumsum(count + length - 1) - (count + length - 1)
             where = _spread(into, count)
             owner = np.repeat(np.concatenate(ids), count)
-            lot = np.repeat(np.arange(len(lots)), [int(x.sum()) for x in counts])
+            lot = np.repeat(np.arange(len(lots), dtype=np.int32), [int(x.sum()) for x in counts])
+            del ids, texts
             hidden = _held_by_smaller(text, where, owner, lot, length)
             at = 0
             for k, c in zip(lots, counts):
@@ -271,7 +284,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, shard_bytes: int = SHARD) ->
                     out_shard.append(int(shard[k]))
                     out_own.append(b"")
                     out_starts.append(bucket.column("starts")[k].as_py())
-                    out_counts.append(c.tobytes())
+                    out_counts.append(bucket.column("counts")[k].as_py())
                     out_bits.append(np.packbits(hidden[at:at + m]).tobytes())
                 at += m
         return pa.table({"shard": out_shard, "own": out_own, "starts": out_starts, "counts": out_counts,
@@ -286,8 +299,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, shard_bytes: int = SHARD) ->
             if row["own"]:
                 marks[:n] |= np.unpackbits(np.frombuffer(row["own"], np.uint8), count=n).astype(bool)
             else:
-                count = np.frombuffer(row["counts"], np.int32).astype(np.int64)
-                p = _spread(np.frombuffer(row["starts"], np.int64), count)
+                count = _opened(row["counts"])
+                p = _spread(_opened(row["starts"]), count)
                 bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=len(p)).astype(bool)
                 marks[p[bits]] = True
         change = np.zeros(n + length + 1, np.int32)
