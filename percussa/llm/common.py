@@ -14,6 +14,8 @@ from percussa.session import checkpoint_root
 
 # A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+# Bounds of ranges that one query carries.
+MOST_CELLS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,18 @@ def pieces_of(total: int, each: int) -> int:
     return max(1, -(-total // each))
 
 
+def range_cells(docs: DataFrame, key: str, cell_bytes: int) -> Column:
+    """The number of a row's range of `key`; ranges hold about `cell_bytes` of text."""
+    n = min(MOST_CELLS, pieces_of(total_bytes(docs, "text"), cell_bytes))
+    bounds = docs.agg(F.percentile_approx(key, F.lit([k / n for k in range(1, n)] or [0.5]), 10 * n)).first()[0] or []
+    bounds = sorted(set(bounds))
+    block = 64
+    every, heads = F.lit(bounds).cast("array<long>"), F.lit(bounds[::block]).cast("array<long>")
+    coarse = F.greatest(F.size(F.filter(heads, lambda b: b <= F.col(key))), F.lit(1))
+    fine = F.size(F.filter(F.slice(every, (coarse - 1) * block + 1, block), lambda b: b <= F.col(key)))
+    return F.when(F.col(key).isNull(), F.lit(0)).otherwise((coarse - 1) * block + fine).cast("long")
+
+
 def packed(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all strings end to end (uint8) and their n + 1 offsets; NULL counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -114,3 +128,27 @@ def write_file(folder: str, stem: str, data: bytes) -> str:
     with where.open_output_stream(f"{base}/{name}", compression=None) as out:
         out.write(data)
     return f"{folder.rstrip('/')}/{name}"
+
+
+class Recent:
+    """A bounded table in two generations: what was used lately stays, the rest goes when the older one is dropped."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most // 2, {}, {}
+
+    def turn(self) -> dict:
+        """The newer generation, begun afresh if it is full; called before a batch, which then only adds to it."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        return self.new
+
+    def missing(self, keys) -> set:
+        """Keys that neither generation holds; those of the older one move to the newer."""
+        new, old, lost = self.new, self.old, set()
+        for k in keys:
+            if k not in new:
+                if k in old:
+                    new[k] = old[k]
+                else:
+                    lost.add(k)
+        return lost

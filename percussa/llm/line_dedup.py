@@ -4,7 +4,7 @@ A line's tokens are its distinct word shingles (lower case; a shorter line is on
 line, by doc_id and place, has at least `percent` of their union in common; lines are judged as the input has them.
 
 1. Counts of all shingles in CELLS cells give every token a class of rarity; the table has a fixed size.
-2. Lines with equal words are one class, named by its first occurrence; tokens are ordered rarest first, and only the
+2. Lines that are equal in lower case are one class, named by its first occurrence; tokens are ordered rarest first, and only the
    prefix that two similar lines must share a token of is posted.
 3. Each class is compared with the first one of each of its postings, after the length and positional filters; Jaccard
    is verified on full token sets.
@@ -30,10 +30,12 @@ CELLS = 1 << 14
 
 def _shingles(line: Column, width: int) -> Column:
     """Hashes of all shingles of a line, in order and with repeats; empty for a line without words."""
-    return let(words(F.lower(line)), lambda ws: F.when(F.size(ws) == 0, F.array().cast("array<bigint>")).when(
-        F.size(ws) < width, F.array(F.xxhash64(ws))).otherwise(F.transform(
-            F.slice(ws, 1, F.greatest(F.size(ws) - (width - 1), F.lit(1))),
-            lambda w, i: F.xxhash64(w, *[F.get(ws, i + k) for k in range(1, width)]))))
+    def of(ws: Column) -> Column:
+        return F.when(F.size(ws) < width, F.when(F.size(ws) > 0, F.array(F.xxhash64(ws))).otherwise(F.array().cast("array<bigint>"))).otherwise(
+            let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: F.transform(
+                F.slice(hs, 1, F.size(hs) - (width - 1)), lambda h, i: F.xxhash64(h, *[F.get(hs, i + k) for k in range(1, width)]))))
+
+    return let(words(F.lower(line)), of)
 
 
 def _cell(h: Column) -> Column:
@@ -57,7 +59,7 @@ def _tokens(line: Column, width: int, rarity: Column) -> Column:
 
 
 def _named(line: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.array_join(words(F.lower(line)), " "))
+    return F.xxhash64(F.lit(seed), F.lower(line))
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -82,7 +84,7 @@ def line_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
                                     F.col("first.p.prefix").alias("prefix")), "lines")
     postings = classes.select("place", "n", F.posexplode("prefix").alias("i", "token"))
     several = postings.groupBy("token").agg(F.count("*").alias("lines"), F.min(F.struct("place", "n", "i")).alias("head")).where("lines > 1")
-    listed = stored(postings.join(several.select("token", "head"), "token"), "listed")
+    listed = stored(postings.join(several, "token"), "listed")
 
     def fits(n: Column, m: Column, i: Column, j: Column) -> Column:
         """Length filter, and positional filter for tokens at places i and j."""
@@ -106,8 +108,10 @@ def line_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     left = held.select("place", F.col("tokens").alias("x"))
     right = held.select(F.col("place").alias("other"), F.col("tokens").alias("y"))
     matched = stored(pairs.join(left, "place").join(right, "other").where(alike(F.col("x"), F.col("y"))).select("place").distinct(), "matched")
+    # Of a posting's two members the first has been compared already.
+    listed = listed.where("lines > 2")
     open_ = listed.where(F.col("place") != F.col("head.place")).join(matched, "place", "left_anti")
-    others = listed.join(open_.select("token").distinct(), "token", "left_semi").select(
+    others = listed.where(F.col("place") != F.col("head.place")).join(open_.select("token").distinct(), "token", "left_semi").select(
         "token", F.col("place").alias("other"), F.col("n").alias("m"), F.col("i").alias("j")).join(right, "other")
     late = open_.select("token", "place", "n", "i").join(left, "place")
     more = late.join(others, (late["token"] == others["token"]) & (F.col("other") < F.col("place"))

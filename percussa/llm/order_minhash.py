@@ -18,12 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from percussa.llm.common import let, pieces_of, total_bytes
+from percussa.llm.common import let, range_cells
 
 TOKEN = r"([^\x20\x09-\x0D]{1,12})"
 BITS = 6                  # 2^6 coordinates
 CELL = 8 << 20            # bytes of text that sort together
-MOST_CELLS = 10_000       # bounds that one query carries
 
 
 def fingerprint(text: Column, k: int = 2) -> Column:
@@ -67,22 +66,10 @@ def likeness(x: Column, y: Column) -> Column:
     return F.when(places == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / places)
 
 
-def _cells(docs: DataFrame, key: str, cell_bytes: int) -> Column:
-    """The number of a row's range of `key`; ranges hold about `cell_bytes` of text."""
-    n = min(MOST_CELLS, pieces_of(total_bytes(docs, "text"), cell_bytes))
-    bounds = docs.agg(F.percentile_approx(key, F.lit([k / n for k in range(1, n)] or [0.5]), 10 * n)).first()[0] or []
-    bounds = sorted(set(bounds))
-    block = 64
-    every, heads = F.lit(bounds).cast("array<long>"), F.lit(bounds[::block]).cast("array<long>")
-    coarse = F.greatest(F.size(F.filter(heads, lambda b: b <= F.col(key))), F.lit(1))
-    fine = F.size(F.filter(F.slice(every, (coarse - 1) * block + 1, block), lambda b: b <= F.col(key)))
-    return F.when(F.col(key).isNull(), F.lit(0)).otherwise((coarse - 1) * block + fine).cast("long")
-
-
 def with_next(docs: DataFrame, cell_bytes: int = CELL) -> DataFrame:
     """doc_id, text, found (the fingerprint), and both of the next row in order of doc_id; the first follows the last."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    celled = docs.withColumn("cell", _cells(docs, "doc_id", cell_bytes))
+    celled = docs.withColumn("cell", range_cells(docs, "doc_id", cell_bytes))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
     w = Window.partitionBy("cell").orderBy(*order)
     following = F.lead(F.struct("text", "found")).over(w)

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from percussa.llm.common import mix64
+from percussa.llm.common import Recent, mix64
 
 MARK = "▁"
-UNITS = 300_000           # units that a worker keeps
+UNITS = 800_000           # units that a worker keeps
 ROWS = 1 << 20            # characters of one matrix
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -152,15 +152,13 @@ class Pieces:
 
 class Encoder:
     def __init__(self, pieces: Pieces, kept: int = UNITS):
-        self.pieces, self.kept, self.seen = pieces, kept, {}
+        self.pieces, self.seen = pieces, Recent(kept)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         cut = [self.pieces.unit.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
-        seen = self.seen
-        if len(seen) > self.kept:
-            seen.clear()
-        new = list({u for units in cut for u in units if u not in seen})
+        seen = self.seen.turn()
+        new = list(self.seen.missing({u for units in cut for u in units}))
         if new:
             seen.update((u, np.array(x, np.int32).tobytes()) for u, x in self.pieces.encode_units(new).items())
         return [np.frombuffer(b"".join([seen[u] for u in units]), np.int32) for units in cut]

@@ -8,8 +8,8 @@ counted words away: any token is read without decoding others.
 Texts are cut at single spaces between printable characters, where the byte-level pre-tokenizer always cuts; the
 library encodes each distinct piece once, and a bounded table keeps the pieces seen so far.
 
-The ids are written once as a table, range-partitioned by doc_id and streamed to files of about FILE tokens; the table of
-reports names the files that count, and gives each its first token's place among all.
+Texts are encoded where they are read; their ids move to ranges of doc_id and are streamed, in order, to files of about
+FILE tokens; the table of reports names the files that count, and gives each its first token's place among all.
 
 Defined cases: NULL counts as the empty text, which is its end id alone; a NULL doc_id sorts first; rows that repeat a
 doc_id stand side by side, by text; an empty table makes no file; extra columns are dropped; a text of any length lies
@@ -26,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from percussa.llm.common import file_system, pieces_of, scratch, stored, write_file
+from percussa.llm.common import Recent, file_system, range_cells, scratch, stored, write_file
 
 FILE = 4 << 20            # tokens in a file
 BLOCK = 512               # bits between two entries of a rank directory
-PIECES = 400_000          # pieces that a worker keeps
+PIECES = 1_000_000        # pieces that a worker keeps
 MAGIC = b"DACs0001"
 JOINED = 4096             # pieces encoded at a time
 _WHOLE = re.compile(r" [!-~À-ÿ](?:[^\s]*[!-~À-ÿ])?")
+_MARKED = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]")
 _CUT = re.compile(r"(?<=[!-~À-ÿ]) (?=[!-~À-ÿ])")
 
 
@@ -136,7 +137,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.kept, self.seen = kept, {}
+        self.seen = Recent(kept)
         # Joining pieces needs a tokenizer with one id for a line feed.
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else -1
@@ -147,10 +148,12 @@ class Encoder:
             parts = _CUT.split(text)
             parts[1:] = [" " + x for x in parts[1:]]
             cut.append(parts)
-        seen = self.seen
-        if len(seen) > self.kept:
-            seen.clear()
-        new = list({x for parts in cut for x in parts if x not in seen})
+        seen = self.seen.turn()
+        new = self.seen.missing({x for parts in cut for x in parts})
+        # A mark behind a word is a token of its own: the word may be known, or serve others.
+        marked = [x for x in new if _MARKED.fullmatch(x)]
+        new.difference_update(marked)
+        new |= self.seen.missing({x[:-1] for x in marked} | {x[-1] for x in marked})
         whole = [x for x in new if _WHOLE.fullmatch(x)]
         for begin in range(0, len(whole), JOINED):
             # A line feed between two pieces is a token of its own; one call then encodes many pieces.
@@ -164,11 +167,13 @@ class Encoder:
             some = left[begin:begin + JOINED]
             for x, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
                 seen[x] = np.array(e.ids, self.kind).tobytes()
+        for x in marked:
+            seen[x] = seen[x[:-1]] + seen[x[-1]]
         return [b"".join([seen[x] for x in parts]) for parts in cut]
 
 
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, tie and the ids (with the end id) of each text as bytes of 2 or 4 each."""
+    """doc_id, tie, cell and the ids (with the end id) of each text as bytes of 2 or 4 each."""
     def run(batches):
         encode = Encoder(path)
         last = np.array([end_id], encode.kind).tobytes()
@@ -178,48 +183,47 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 some = ["" if x is None else x for x in texts[begin:begin + 256]]
                 ids = [x + last for x in encode(some)]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(begin, len(some)), batch.column("tie").slice(begin, len(some)),
+                    *(batch.column(c).slice(begin, len(some)) for c in ("doc_id", "tie", "cell")),
                     pa.array([encode.kind.itemsize] * len(some), pa.int32()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "tie", "width", "ids"])
+                    names=["doc_id", "tie", "cell", "width", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    return rows.mapInArrow(run, "doc_id long, tie long, width int, ids binary")
+    return docs.mapInArrow(run, "doc_id long, tie long, cell long, width int, ids binary")
 
 
 def write_codes(docs: DataFrame, folder: str, path: str, end_id: int = 2, file_tokens: int = FILE) -> DataFrame:
     """Writes the files in the shared folder; returns file, documents, tokens and start, the tokens of all files before."""
-    table = stored(encoded(docs, path, end_id), "ids")
-    size = table.agg(F.sum(F.length("ids") / F.col("width"))).first()[0] or 0
-    ranged = table.repartitionByRange(pieces_of(int(size), file_tokens), F.col("doc_id").asc_nulls_first())
-    ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").withColumn("part", F.spark_partition_id())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("cell", range_cells(docs, "doc_id", 4 * file_tokens))
+    # Texts become ids before they move to the ranges.
+    ranged = encoded(docs, path, end_id).repartition("cell").sortWithinPartitions("cell", F.col("doc_id").asc_nulls_first(), "tie")
 
     def write(batches):
-        names, parts, size, turn, part = [], [], 0, 0, 0
+        names, parts, size, turn, cell = [], [], 0, 0, None
 
         def flush():
             counts = np.array([len(x) for x in parts], np.int64)
-            name = write_file(folder, f"codes-{part:06d}-{turn:06d}", file_bytes(names, counts, np.concatenate(parts)))
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "turn": pa.array([turn], pa.int32()),
-                                              "file": [name], "documents": [len(names)], "tokens": [int(counts.sum())]})
+            name = write_file(folder, f"codes-{cell:06d}-{turn:06d}", file_bytes(names, counts, np.concatenate(parts)))
+            row = pa.RecordBatch.from_pydict({"cell": [cell], "turn": [turn], "file": [name], "documents": [len(names)],
+                                              "tokens": [int(counts.sum())]})
             names.clear()
             parts.clear()
             return row
 
         for batch in batches:
-            for doc_id, width, ids, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "width", "ids", "part"))):
-                part = at
+            for doc_id, at, width, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "cell", "width", "ids"))):
+                if names and (at != cell or size >= file_tokens):
+                    yield flush()
+                    size, turn = 0, turn + 1 if at == cell else 0
+                cell = at
                 names.append(doc_id)
                 parts.append(np.frombuffer(ids, f"<u{width}").astype(np.uint32))
                 size += len(parts[-1])
-                if size >= file_tokens:
-                    yield flush()
-                    size, turn = 0, turn + 1
         if names:
             yield flush()
 
-    files = stored(ranged.select("doc_id", "width", "ids", "part").mapInArrow(
-        write, "part int, turn int, file string, documents long, tokens long"), "files")
-    before = Window.orderBy("part", "turn").rowsBetween(Window.unboundedPreceding, -1)
+    files = stored(ranged.select("doc_id", "cell", "width", "ids").mapInArrow(
+        write, "cell long, turn long, file string, documents long, tokens long"), "files")
+    before = Window.orderBy("cell", "turn").rowsBetween(Window.unboundedPreceding, -1)
     return files.select("file", "documents", "tokens", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start"))
 
 

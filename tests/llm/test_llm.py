@@ -479,3 +479,11 @@ def test_pipeline_against_single_operators(spark):
     assert len(names["sentencepiece"]) == len(names["mixing"])
     assert all(held.decode(r.ids) == texts[r.doc_id] for r in names["sentencepiece"])
     assert list(corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame([], SCHEMA), "").columns) == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+
+
+def test_encoders_with_small_tables():
+    """Tables that turn over between batches change nothing."""
+    texts = [prose(k, 30) + ". " + prose(k // 2, 10) + ", end" for k in range(40)]
+    for make in (lambda n: token_codes.Encoder(BPE, n), lambda n: pieces.Encoder(pieces.Pieces(PIECES), n)):
+        small, large = make(20), make(10**6)
+        assert [bytes(x) for t in texts for x in small([t])] == [bytes(x) for x in large(texts)]
