@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from percussa.llm.common import packed, slices, words64
 
-FIT_ROWS = 8000           # labelled rows that the model is fitted on, at most
+FIT_ROWS = 6000           # labelled rows that the model is fitted on, at most
 LEXICON = 4000            # entries
 PREFIX = (4, 5, 6, 8)     # bytes of an entry
 SLICE = 1 << 20
@@ -141,28 +141,30 @@ class Features:
         return np.stack(columns, axis=1)
 
 
-def fit_lexicon(texts: list[bytes], labels: np.ndarray, most: int = LEXICON) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(text: bytes) -> np.ndarray:
+    """Distinct beginnings of the words of a text."""
+    data = np.frombuffer(text, np.uint8)
+    begin, end, _ = _cut_words(data, np.array([0, len(data)]))
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    return np.unique(np.concatenate(_keys(words64(_lower_table()[data]), *_trimmed(data, begin, end))))
+
+
+def fit_lexicon(keys: list[np.ndarray], labels: np.ndarray, most: int = LEXICON) -> tuple[np.ndarray, np.ndarray]:
     """Keys in order and weights (log odds of the share of texts that have one) of entries that speak for toxicity."""
-    seen: list[np.ndarray] = [np.zeros(0, np.uint64)]
-    toxic: list[np.ndarray] = [np.zeros(0, bool)]
-    for text, label in zip(texts, labels):
-        data = np.frombuffer(text, np.uint8)
-        begin, end, _ = _cut_words(data, np.array([0, len(data)]))
-        if not len(begin):
-            continue
-        b, e = _trimmed(data, begin, end)
-        keys = np.unique(np.concatenate(_keys(words64(_lower_table()[data]), b, e)))
-        seen.append(keys)
-        toxic.append(np.full(len(keys), bool(label)))
-    keys, inverse = np.unique(np.concatenate(seen), return_inverse=True)
-    with_toxic = np.bincount(inverse, weights=np.concatenate(toxic), minlength=len(keys))
-    without = np.bincount(inverse, minlength=len(keys)) - with_toxic
+    found, with_toxic, without = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for begin in range(0, len(keys), 500):
+        some = [found, *keys[begin:begin + 500]]
+        toxic = np.repeat(labels[begin:begin + 500] > 0, [len(x) for x in some[1:]])
+        merged, inverse = np.unique(np.concatenate(some), return_inverse=True)
+        with_toxic = np.bincount(inverse, np.concatenate([with_toxic, toxic]), len(merged))
+        without = np.bincount(inverse, np.concatenate([without, ~toxic]), len(merged))
+        found = merged
     n1, n0 = max(int(labels.sum()), 1), max(int((labels == 0).sum()), 1)
     odds = np.log((with_toxic + 0.1) / n1) - np.log((without + 0.1) / n0)
     good = np.flatnonzero((with_toxic >= 3) & (odds > 2.5))
-    good = good[np.argsort(-odds[good] * np.log1p(with_toxic[good]), kind="stable")][:most]
-    good = np.sort(good)
-    return keys[good], odds[good]
+    good = np.sort(good[np.argsort(-odds[good] * np.log1p(with_toxic[good]), kind="stable")][:most])
+    return found[good], odds[good]
 
 
 class Trees:
@@ -239,42 +241,43 @@ class Trees:
 
 
 def features_of(features: Features, texts: list[bytes]) -> np.ndarray:
+    """Features of the texts, about SLICE bytes at a time."""
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    return features(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    return np.concatenate([features(np.frombuffer(b"".join(texts[a:b]), np.uint8), offsets[a:b + 1] - offsets[a])
+                           for a, b in slices(offsets, SLICE)])
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> tuple[Features, Trees | float]:
-    """Lexicon and trees on two thirds of the rows in turn, calibration on margins of rows that they have not seen."""
+    """The model of labelled texts; the share of toxic ones where only one class is there.
+
+    The rows are split in two. The lexicon of one half makes the features of the other, so the trees do not learn to
+    trust words that only one text has; margins for the calibration come from trees of the half that a row is not in.
+    """
+    nothing = Features(np.zeros(0, np.uint64), np.zeros(0))
     if not 0 < labels.sum() < len(labels):
-        return Features(np.zeros(0, np.uint64), np.zeros(0)), float(labels.mean()) if len(labels) else 0.0
-    fold = np.arange(len(labels)) % 3
-    margin = np.zeros(len(labels))
-    for k in range(3):
-        inner, outer = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        margin[outer] = _fit_part([texts[i] for i in inner], labels[inner])(
-            [texts[i] for i in outer]) if len(outer) and 0 < labels[inner].sum() < len(inner) else labels.mean()
-    features, trees = _crossed(texts, labels)
-    trees.calibrate(margin, labels)
-    return features, trees
-
-
-def _crossed(texts: list[bytes], labels: np.ndarray) -> tuple[Features, Trees]:
-    """Trees on features whose lexicon has not seen the row, so that they do not trust it too much."""
-    half = (np.arange(len(labels)) // 3) % 2
-    x = None
-    for k in range(2):
-        inner, outer = np.flatnonzero(half != k), np.flatnonzero(half == k)
-        part = features_of(Features(*fit_lexicon([texts[i] for i in inner], labels[inner])), [texts[i] for i in outer])
-        x = np.zeros((len(labels), part.shape[1])) if x is None else x
-        x[outer] = part
+        return nothing, float(labels.mean()) if len(labels) else 0.0
+    # Both halves get their share of each class.
+    half = np.empty(len(labels), np.int64)
+    for value in (0, 1):
+        rows = np.flatnonzero(labels == value)
+        half[rows] = np.arange(len(rows)) % 2
+    keys = [keys_of(t) for t in texts]
+    parts = [np.flatnonzero(half == k) for k in range(2)]
+    x = [features_of(Features(*fit_lexicon([keys[i] for i in parts[1 - k]], labels[parts[1 - k]])), [texts[i] for i in parts[k]])
+         if len(parts[k]) else None for k in range(2)]
+    y = [labels[rows].astype(float) for rows in parts]
     trees = Trees()
-    trees.fit(x, labels.astype(float))
-    return Features(*fit_lexicon(texts, labels)), trees
-
-
-def _fit_part(texts: list[bytes], labels: np.ndarray):
-    features, trees = _crossed(texts, labels)
-    return lambda other: trees.margins(features_of(features, other))
+    trees.fit(np.concatenate([v for v in x if v is not None]), np.concatenate(y))
+    if min(map(len, y)) and all(0 < v.sum() < len(v) for v in y):
+        margin = []
+        for k in range(2):
+            other = Trees()
+            other.fit(x[1 - k], y[1 - k])
+            margin.append(other.margins(x[k]))
+    else:
+        margin = [trees.margins(v) for v in x if v is not None]
+    trees.calibrate(np.concatenate(margin), np.concatenate(y))
+    return Features(*fit_lexicon(keys, labels)), trees
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS, threshold: float = 0.3) -> DataFrame:
@@ -286,8 +289,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows:
     chosen = known.orderBy(F.xxhash64("of"), "of").limit(fit_rows)
     rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["of"]).select("doc_id", "text", "label").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    texts = [(r.text or "").encode() for r in rows]
-    features, trees = fit(texts, np.array([r.label for r in rows], np.int64))
+    labelled = np.array([r.label for r in rows], np.int64)
+    texts = [(rows.pop(0).text or "").encode() for _ in range(len(rows))]
+    features, trees = fit(texts, labelled)
 
     def run(batches):
         for batch in batches:
