@@ -81,7 +81,10 @@ def normalise_peak(peaks: DataFrame, reference_m: float = 1.0, level: str = "lev
 
 
 def atmospheric_effect(recordings: DataFrame, centres: list[float] | None = None) -> DataFrame:
-    """Absorption over the path per band and how far a wrong reading would move it."""
+    """Absorption over the path per band and how far a wrong reading would move it.
+
+    A recording without a positive distance keeps its rows, with a refusal and no figures.
+    """
     d = F.col("mic_distance_m")
     t, h, p = F.col("temperature_C"), F.col("humidity_pct"), F.col("pressure_kPa")
     shifted = {
@@ -95,11 +98,13 @@ def atmospheric_effect(recordings: DataFrame, centres: list[float] | None = None
     for name, pair in shifted.items():
         sets[f"_{name}_low"], sets[f"_{name}_high"] = (air.terms(*c) for c in pair)
     centres = centres or BAND_CENTRES
-    rows = with_air(recordings.where(d > 0)).withColumns(sets).withColumn(
+    rows = with_air(recordings).withColumn("refusal", F.when(F.coalesce(d > 0, F.lit(False)), F.lit(None).cast("string")).otherwise(
+        "no distance to the source")).withColumns(sets).withColumn(
         "band_Hz", F.explode(F.array(*[F.lit(float(c)) for c in centres])))
     f = F.col("band_Hz")
     rows = rows.withColumns({c: air.alpha(f, F.col(c)) for c in sets})
     base = F.col("_base")
+    d = F.when(d > 0, d)
     out = {"alpha_dB_per_m": base, "absorption_dB": base * d}
     for name in shifted:
         low, high = (F.col(f"_{name}_{end}") - base for end in ("low", "high"))
@@ -112,7 +117,7 @@ def worst_effect(effect: DataFrame, keys: list[str]) -> DataFrame:
     sensitivity = F.greatest(*[F.abs(f"{n}_sensitivity_dB") for n in ("temperature", "humidity", "pressure")])
     g = effect.groupBy(*keys).agg(
         F.max("absorption_dB").alias("worst_absorption_dB"),
-        F.max_by("band_Hz", F.struct("absorption_dB", -F.col("band_Hz"))).alias("worst_band_Hz"),
+        F.max_by("band_Hz", F.when(F.col("absorption_dB").isNotNull(), F.struct("absorption_dB", -F.col("band_Hz")))).alias("worst_band_Hz"),
         F.max(sensitivity).alias("largest_sensitivity_dB"))
     return g.withColumn("matters", F.col("worst_absorption_dB") >= 0.5)
 

@@ -62,29 +62,29 @@ def frame_floor(samples: DataFrame, keys: list[str], frame: int, sizes: DataFram
     return out.withColumn("noise_ms", F.when(whole >= 20, F.col("_quiet")).otherwise(F.col("sum_x2") / F.col("n_samples"))).drop("_quiet")
 
 
-def low_frequency_fraction(samples: DataFrame, keys: list[str], sizes: DataFrame, fs: int, cutoff: float = 20.0) -> DataFrame:
-    """Share of the energy below `cutoff`, from one spectrum per recording.
+def low_frequency_fraction(samples: DataFrame, keys: list[str], sizes: DataFrame, fs: int, cutoff: float = 20.0,
+                           segment: int = 1 << 20) -> DataFrame:
+    """Share of the energy below `cutoff`: the energies of the spectra of all segments, summed.
 
-    Long recordings are thinned to at most two million samples first, as the
-    measure itself prescribes, so a group is bounded.
+    A recording below two segments is one spectrum; a longer one is many groups of bounded size, the last of which takes
+    the rest, so every sample counts.
     """
-    thin = samples.join(sizes.select(*keys, "n_samples"), keys).withColumn(
-        "_step", F.greatest(F.lit(1), F.floor(F.col("n_samples") / 1_000_000)))
-    thin = thin.where((F.col("n") % F.col("_step") == 0) & (F.col("n_samples") >= 16) & (fs / F.col("_step") > 2 * cutoff))
+    last = F.greatest(F.lit(0), F.floor(F.col("n_samples") / segment) - 1)
+    cut = samples.join(sizes.select(*keys, "n_samples"), keys).where("n_samples >= 16").withColumn(
+        "_segment", F.least(F.floor(F.col("n") / segment), last))
     types = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
 
-    def share(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        x = pdf["x"].to_numpy()
+    def energies(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("n")["x"].to_numpy()
         power = np.abs(np.fft.rfft((x - x.mean()) * np.hanning(len(x)))) ** 2
-        f = np.fft.rfftfreq(len(x), float(pdf["_step"].iloc[0]) / fs)
-        total = power.sum()
-        part = power[f < cutoff].sum() / total if total >= L.EPS else 0.0
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "lf_fraction": part}])
-
-    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", lf_fraction double"
-    found = thin.select(*keys, "n", "x", "_step").groupBy(*keys).applyInPandas(share, schema)
-    return sizes.select(*keys).join(found, keys, "left").na.fill(0.0, ["lf_fraction"])
+        low = power[np.fft.rfftfreq(len(x), 1.0 / fs) < cutoff].sum()
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "_low": low, "_all": power.sum()}])
+
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", _low double, _all double"
+    parts = cut.select(*keys, "_segment", "n", "x").groupBy(*keys, "_segment").applyInPandas(energies, schema)
+    found = parts.groupBy(*keys).agg(F.sum("_low").alias("_low"), F.sum("_all").alias("_all"))
+    share = F.when(F.col("_all") >= L.EPS, F.col("_low") / F.col("_all")).otherwise(F.lit(0.0))
+    return sizes.select(*keys).join(found.select(*keys, share.alias("lf_fraction")), keys, "left").na.fill(0.0, ["lf_fraction"])
 
 
 def quality_columns(fs: int, pa_per_fs: Column, calibrated: Column) -> dict[str, Column]:

@@ -72,8 +72,7 @@ def _worse(low, high):
     return f"CASE WHEN abs({a}) >= abs({b}) THEN {a} ELSE {b} END"
 
 
-EFFECT_SQL = f"""{B.RECORDINGS_SQL}, a AS (SELECT recording_id, {AIR_SQL}, mic_distance_m AS d, {OCT_SQL} AS f FROM recordings
-  WHERE mic_distance_m > 0),
+EFFECT_SQL = f"""{B.RECORDINGS_SQL}, a AS (SELECT recording_id, {AIR_SQL}, CASE WHEN mic_distance_m > 0 THEN mic_distance_m END AS d, {OCT_SQL} AS f FROM recordings),
 effect AS (SELECT recording_id, f, {ABSORPTION_SQL} * d AS absorption_dB,
   {_worse(_shift(tc="(tc - 5)"), _shift(tc="(tc + 5)"))} AS temperature_sensitivity_dB,
   {_worse(_shift(rh="greatest(0, rh - 20)"), _shift(rh="least(100, rh + 20)"))} AS humidity_sensitivity_dB,
@@ -81,10 +80,10 @@ effect AS (SELECT recording_id, f, {ABSORPTION_SQL} * d AS absorption_dB,
 EFFECT_COLS = ["absorption_dB", "temperature_sensitivity_dB", "humidity_sensitivity_dB", "pressure_sensitivity_dB"]
 
 
-@query(f"""WITH {EFFECT_SQL} SELECT recording_id, f AS "band_Hz", {rs(*EFFECT_COLS, digits=9)} FROM effect""")
+@query(f"""WITH {EFFECT_SQL} SELECT recording_id, f AS "band_Hz", CASE WHEN absorption_dB IS NULL THEN 'no distance to the source' END AS refusal, {rs(*EFFECT_COLS, digits=9)} FROM effect""")
 def atmospheric_effect(spark, sf):
     out = A.atmospheric_effect(B.recordings(spark, sf), OCTAVES)
-    return rounded(out.select("recording_id", "band_Hz", *EFFECT_COLS), 9)
+    return rounded(out.select("recording_id", "band_Hz", "refusal", *EFFECT_COLS), 9)
 
 
 @query(f"""WITH {EFFECT_SQL} SELECT recording_id, {r("max(absorption_dB)", "worst_absorption_dB", 9)},

@@ -152,7 +152,7 @@ def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(62.5) * F.pow(F.lit(2.0), F.col("l_linenumber"))).alias("band_Hz"),
         F.col("l_quantity").alias("level"),
         F.when(F.col("l_returnflag") == "N", "unsuppressed")
-        .when(F.col("l_returnflag") == "R", "suppressed").alias("configuration"),
+        .when(F.col("l_returnflag") == "R", "suppressed").otherwise("other").alias("configuration"),
         F.col("l_shipdate").alias("shipdate"),
     )
 
@@ -160,7 +160,7 @@ def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 BANDS_SQL = """bands AS (
   SELECT l_suppkey AS recording_id, l_linenumber AS band, 62.5 * power(2.0::DOUBLE, l_linenumber) AS band_Hz,
          l_quantity AS level,
-         CASE l_returnflag WHEN 'N' THEN 'unsuppressed' WHEN 'R' THEN 'suppressed' END AS configuration
+         CASE l_returnflag WHEN 'N' THEN 'unsuppressed' WHEN 'R' THEN 'suppressed' ELSE 'other' END AS configuration
   FROM lineitem)"""
 
 

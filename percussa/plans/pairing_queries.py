@@ -9,7 +9,7 @@ from percussa.operators import strings as S
 from percussa.plans import bindings as B
 from percussa.plans.catalog import query, r, rounded
 from percussa.plans.strings_queries import (
-    ACROSS_COLS, ACROSS_SQL, BAND_STATS_SQL, KEY, ORDER, _stats_sql, _unpivot_sql, configured_bands)
+    ACROSS_COLS, ACROSS_SQL, BAND_STATS_SQL, KEY, ORDER, _stats_sql, _unpivot_sql)
 
 SESSION = "session_id"
 PAIR = ["session_id", "test_recording_id", "ref_recording_id"]
@@ -216,7 +216,7 @@ loss AS (SELECT recording_id, band, am, bm, am - bm AS d, 1.96 * sqrt(ase * ase
 
 
 def band_losses(spark, sf):
-    stats = S.band_stats(configured_bands(spark, sf), ["recording_id", "configuration"])
+    stats = S.band_stats(B.bands(spark, sf).where("configuration != 'other'"), ["recording_id", "configuration"])
     return P.band_insertion_loss(stats, ["recording_id"])
 
 

@@ -164,9 +164,9 @@ def shot_metrics(spark, sf):
                               "duration_s", "blast_duration_s", "integration_window_s", "valid", "notes"))
 
 
-@query(f"""WITH {B.SAMPLES_SQL}, lv AS (SELECT recording_id, CASE WHEN shot_number % 2 = 0 THEN 'unsuppressed' ELSE 'suppressed' END AS cfg,
-  shot_number, {amp_sql("max(abs(x))")} AS peak, 20 * log10(max(abs(x)) / sqrt(avg(x * x))) AS crest, {pow_sql("sum(x * x) / 8000")} AS expo
-  FROM samples GROUP BY 1, 2, 3),
+@query(f"""WITH {SPAN_SQL}, lv AS (SELECT recording_id, CASE WHEN shot_number % 2 = 0 THEN 'unsuppressed' ELSE 'suppressed' END AS cfg,
+  shot_number, {amp_sql("max(abs(x))")} AS peak, 20 * log10(max(abs(x)) / sqrt(avg(x * x))) AS crest, {pow_sql("sum(x * x) FILTER (WHERE n >= start AND n < stop) / 8000")} AS expo
+  FROM samples JOIN span USING (recording_id, shot_number) GROUP BY 1, 2, 3),
 long AS (SELECT recording_id, cfg, 'Lpeak_Z' AS metric, peak AS value FROM lv UNION ALL SELECT recording_id, cfg, 'LZE', expo FROM lv
   UNION ALL SELECT recording_id, cfg, 'crest_factor_dB', crest FROM lv),
 st AS (SELECT recording_id, cfg, metric, count(*) AS n, CASE WHEN metric = 'crest_factor_dB' THEN avg(value) ELSE {em("value")} END AS mean,
@@ -176,9 +176,10 @@ j AS (SELECT a.recording_id, metric, a.mean AS am, b.mean AS bm, a.n AS an, b.n
 SELECT recording_id, metric, {r("am", "reference_dB")}, an AS reference_n, {r("bm", "test_dB")}, bn AS test_n,
  {r("am - bm", "reduction_dB")}, {r("ci", "ci95_dB")}, abs(am - bm) > ci AS significant FROM j""")
 def insertion_loss_from_windows(spark, sf):
-    w = B.windows(spark, sf).select("recording_id", "configuration", L.amplitude_level(L.peak("samples")).alias("Lpeak_Z"),
-                                    G.exposure(F.col("samples"), F.col("fs")).alias("LZE"),
-                                    G.crest_factor(F.col("samples")).alias("crest_factor_dB"))
+    w = B.windows(spark, sf).withColumn("span", G.integration_span())
+    energy = G.part("samples", F.col("span")["start"], F.col("span")["stop"])
+    w = w.select("recording_id", "configuration", L.amplitude_level(L.peak("samples")).alias("Lpeak_Z"),
+                 G.exposure(energy, F.col("fs")).alias("LZE"), G.crest_factor(F.col("samples")).alias("crest_factor_dB"))
     keys = ["recording_id", "configuration"]
     stats = S.metric_stats(S.unpivot_metrics(w, keys, ["Lpeak_Z", "LZE", "crest_factor_dB"]), keys)
     return rounded(P.insertion_loss(stats.where("configuration = 'unsuppressed'").drop("configuration"),

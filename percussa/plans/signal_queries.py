@@ -63,11 +63,14 @@ def calibrate_from_tone(spark, sf):
     return rounded(C.calibrate_from_tone(plain_stream(spark, sf), KEY, FS, 1000.0, 94.0, 256), 9, dominant_Hz=6, Pa_per_FS=4)
 
 
-@query(f"""WITH {B.STREAM_SQL}, m AS (SELECT recording_id, n // 800 AS part, sqrt(avg(x * x)) AS rms FROM stream WHERE n // 800 < 2 GROUP BY 1, 2)
+@query(f"""WITH {B.STREAM_SQL}, s AS (SELECT recording_id, max(n) + 1 AS size FROM stream GROUP BY 1),
+m AS (SELECT recording_id, 2 * n // size AS part, sqrt(avg(x * x)) AS rms FROM stream JOIN s USING (recording_id) GROUP BY 1, 2)
 SELECT a.recording_id, {r("20 * log10(b.rms / a.rms)", "drift_dB")}, abs(20 * log10(b.rms / a.rms)) <= 0.5::DOUBLE AS stable
 FROM m a JOIN m b ON a.recording_id = b.recording_id AND a.part = 0 AND b.part = 1""")
 def tone_drift(spark, sf):
-    part = plain_stream(spark, sf).groupBy("recording_id", F.floor(F.col("n") / 800).alias("part")).agg(
+    samples = plain_stream(spark, sf)
+    sizes = samples.groupBy(*KEY).agg((F.max("n") + 1).alias("size"))
+    part = samples.join(sizes, KEY).groupBy("recording_id", F.floor(2 * F.col("n") / F.col("size")).alias("part")).agg(
         F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms")).withColumn("refusal", F.lit(None).cast("string"))
     return rounded(C.tone_drift(part.where("part = 0"), part.where("part = 1"), KEY))
 
@@ -188,20 +191,20 @@ def _exp_sql(tau, keys="recording_id, shot_number"):
 
 
 @query(f"""WITH {B.SAMPLES_SQL}, f AS (SELECT recording_id, shot_number, a.n, {_exp_sql(0.125)} AS y, {_exp_sql(1.0)} AS s FROM samples a JOIN samples b USING (recording_id, shot_number) WHERE b.n <= a.n GROUP BY 1, 2, 3)
-SELECT recording_id, shot_number, n::INT AS n, {r(pow_sql("y"), "fast_dB")}, {r(pow_sql("s"), "slow_dB")} FROM f WHERE n % 8 = 0""")
+SELECT recording_id, shot_number, n::INT AS n, {r(pow_sql("y"), "fast_dB")}, {r(pow_sql("s"), "slow_dB")} FROM f""")
 def exponential_level(spark, sf):
     w = B.windows(spark, sf)
     fast, slow = P.exponential_of(0.125), P.exponential_of(1.0)
     both = w.select(*ID, fast("samples", "fs", F.lit(0.0)).alias("f"), slow("samples", "fs", F.lit(0.0)).alias("s"))
-    long = both.select(*ID, F.posexplode(F.arrays_zip("f", "s")).alias("n", "v")).where("n % 8 = 0")
+    long = both.select(*ID, F.posexplode(F.arrays_zip("f", "s")).alias("n", "v"))
     return rounded(long.select(*ID, "n", L.power_level(F.col("v.f")).alias("fast_dB"), L.power_level(F.col("v.s")).alias("slow_dB")))
 
 
 @query(f"""WITH {B.SAMPLES_SQL}, f AS (SELECT recording_id, shot_number, a.n, {_exp_sql(0.035)} AS x FROM samples a JOIN samples b USING (recording_id, shot_number) WHERE b.n <= a.n GROUP BY 1, 2, 3)
-SELECT recording_id, shot_number, a.n::INT AS n, {r(pow_sql("max(b.x * exp(-(a.n - b.n) / (8000 * 1.5::DOUBLE)))"), "impulse_dB")} FROM f a JOIN f b USING (recording_id, shot_number) WHERE b.n <= a.n AND a.n % 8 = 0 GROUP BY 1, 2, 3""")
+SELECT recording_id, shot_number, a.n::INT AS n, {r(pow_sql("max(b.x * exp(-(a.n - b.n) / (8000 * 1.5::DOUBLE)))"), "impulse_dB")} FROM f a JOIN f b USING (recording_id, shot_number) WHERE b.n <= a.n GROUP BY 1, 2, 3""")
 def impulse_level(spark, sf):
     w = B.windows(spark, sf).withColumn("samples", P.exponential_of(dsp.IMPULSE_S)("samples", "fs", F.lit(0.0)))
-    long = w.select(*ID, F.posexplode(P.hold_of("samples", "fs", F.lit(0.0))).alias("n", "v")).where("n % 8 = 0")
+    long = w.select(*ID, F.posexplode(P.hold_of("samples", "fs", F.lit(0.0))).alias("n", "v"))
     return rounded(long.select(*ID, "n", L.power_level("v").alias("impulse_dB")))
 
 

@@ -78,12 +78,12 @@ def two_pass_detection(spark, sf):
 
 
 @query(f"""WITH s AS (SELECT vec_id AS recording_id, unnest(range(64)) AS n, unnest(embedding)::DOUBLE AS x FROM embeddings),
-f AS (SELECT recording_id, n // 32 AS chunk_id, frame, n % 32 - frame * 8 AS i, x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (n % 32 - frame * 8) / 16)) AS y FROM s, (VALUES (0), (2)) u(frame)
+f AS (SELECT recording_id, n // 32 AS chunk_id, frame, n % 32 - frame * 8 AS i, x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (n % 32 - frame * 8) / 16)) AS y FROM s, (VALUES (0), (1), (2)) u(frame)
   WHERE n % 32 >= frame * 8 AND n % 32 < frame * 8 + 16),
 b AS (SELECT recording_id, chunk_id, frame, k, sqrt((sum(y * cos(2 * pi() * k * i / 16)) ** 2 + sum(y * sin(2 * pi() * k * i / 16)) ** 2) * CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END) / 8 AS v FROM f, range(9) t(k) GROUP BY 1, 2, 3, 4)
 SELECT recording_id, chunk_id, frame::BIGINT AS frame, {r("max(v)", "peak", 9)} FROM b GROUP BY 1, 2, 3""")
 def chunk_spectrogram(spark, sf):
-    frames = O.chunk_spectrogram(chunk_stream(spark, sf), 16, 8, 2)
+    frames = O.chunk_spectrogram(chunk_stream(spark, sf), 16, 8)
     out = O.run_available(frames.select("recording_id", "chunk_id", "frame", F.array_max("values").alias("peak")), place(spark))
     return rounded(out, 9)
 

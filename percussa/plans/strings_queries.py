@@ -59,20 +59,16 @@ BAND_KEY = "recording_id, configuration, band"
 BAND_STATS_SQL = f"""band_stats AS (SELECT {BAND_KEY}, count(level) AS n, {em("level")} AS mean,
   CASE WHEN count(level) = 1 THEN 0.0 ELSE stddev_samp(level) END AS std, min(level) AS minimum, max(level) AS maximum,
   CASE WHEN count(level) > 1 THEN stddev_samp(level) / sqrt(count(level)) ELSE 0.0 END AS se
-  FROM bands WHERE configuration IS NOT NULL GROUP BY {BAND_KEY})"""
-
-
-def configured_bands(spark, sf):
-    return B.bands(spark, sf).where("configuration IS NOT NULL")
+  FROM bands GROUP BY {BAND_KEY})"""
 
 
 @query(f"""WITH {B.BANDS_SQL}, laid AS (
   SELECT recording_id FROM (SELECT recording_id, configuration, count(DISTINCT band) AS k FROM bands
-    WHERE configuration IS NOT NULL GROUP BY 1, 2) GROUP BY 1 HAVING min(k) = max(k))
+    GROUP BY 1, 2) GROUP BY 1 HAVING min(k) = max(k))
   SELECT recording_id, band, {r(em("level"), "mean")} FROM bands JOIN laid USING (recording_id)
-  WHERE configuration IS NOT NULL GROUP BY 1, 2""")
+  GROUP BY 1, 2""")
 def band_energy_mean(spark, sf):
-    bands = configured_bands(spark, sf)
+    bands = B.bands(spark, sf)
     distinct = bands.select("recording_id", "configuration", "band").distinct()
     laid = S.same_layout(distinct, ["recording_id"], ["configuration"])
     return rounded(S.band_stats(bands.join(laid, "recording_id", "left_semi"), ["recording_id"])
@@ -81,13 +77,13 @@ def band_energy_mean(spark, sf):
 
 @query(f"WITH {B.BANDS_SQL}, {BAND_STATS_SQL} SELECT {BAND_KEY}, {rs('std', 'minimum', 'maximum')} FROM band_stats")
 def band_spread(spark, sf):
-    s = S.band_stats(configured_bands(spark, sf), ["recording_id", "configuration"])
+    s = S.band_stats(B.bands(spark, sf), ["recording_id", "configuration"])
     return rounded(s.select("recording_id", "configuration", "band", "std", "minimum", "maximum"))
 
 
 @query(f"WITH {B.BANDS_SQL}, {BAND_STATS_SQL} SELECT {BAND_KEY}, n, {rs('mean', 'se')} FROM band_stats")
 def band_mean_se(spark, sf):
-    s = S.band_stats(configured_bands(spark, sf), ["recording_id", "configuration"])
+    s = S.band_stats(B.bands(spark, sf), ["recording_id", "configuration"])
     return rounded(s.select("recording_id", "configuration", "band", "n", "mean", "se"))
 
 

@@ -120,7 +120,8 @@ def number_texts(spark, sf):
 
 @query()
 def shot_table(spark, sf):
-    return W.shot_table(G.shot_metrics(B.windows(spark, sf)), ["recording_id"])
+    metrics = G.shot_metrics(B.windows(spark, sf))
+    return W.shot_table(metrics.withColumn("time_s", F.col("shot_number") * 64 / F.col("fs")), ["recording_id"])
 
 
 @query(f"""WITH {B.SHOT_RECORDS_SQL}, p AS (SELECT *, (row_number() OVER (PARTITION BY recording_id ORDER BY t_us, event_id) - 1) // 25 AS page FROM shot_records)

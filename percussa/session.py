@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,11 +37,14 @@ def local_session(cores: int | None = None, app: str = "percussa") -> SparkSessi
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the session names in spark.checkpoint.dir.
 
-    A private one is set only where the session names none, as in tests.
+    A private one is set only where the session names none and runs in one
+    process, as in tests; on a cluster no other machine could read it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="percussa-"))
     return context.getCheckpointDir()
 

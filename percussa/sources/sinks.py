@@ -35,13 +35,18 @@ def number_text(value) -> Column:
 
 
 def shot_table(metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """The per-shot table as text columns, in its fixed order."""
+    """The per-shot table as text columns, in its fixed order; a metric that is missing is an error."""
+    made = {"duration_ms": ("duration_s", 1000.0), "integration_ms": ("integration_window_s", 1000.0)}
+    for name, (source, factor) in made.items():
+        if name not in metrics.columns and source in metrics.columns:
+            metrics = metrics.withColumn(name, F.col(source) * factor)
     kinds = dict(metrics.dtypes)
+    missing = [source for source in SHOT_COLUMNS.values() if source not in kinds]
+    if missing:
+        raise ValueError(f"the shot table needs the columns {', '.join(missing)}")
     out = []
     for name, source in SHOT_COLUMNS.items():
-        kind = kinds.get(source)
-        if kind is None:
-            continue
+        kind = kinds[source]
         if kind == "boolean":
             col = F.when(F.col(source), "true").otherwise("false")
         elif kind.startswith("array"):

@@ -164,8 +164,8 @@ def running_quality(chunks: DataFrame) -> DataFrame:
                     L.power_level(F.col("_q") / F.col("n_samples")).alias("level_dB"), L.power_level("_quiet").alias("quietest_chunk_dB"))
 
 
-def chunk_spectrogram(chunks: DataFrame, nperseg: int, noverlap: int, thin: int = 40) -> DataFrame:
-    """Stateless: the spectrogram of each chunk by itself, every `thin`-th frame."""
+def chunk_spectrogram(chunks: DataFrame, nperseg: int, noverlap: int, thin: int = 1) -> DataFrame:
+    """Stateless: the spectrogram of each chunk by itself; `thin` keeps every so many-th frame."""
     from percussa.operators.spectra import stft_of
 
     frames = chunks.select(*KEYS, "chunk_id", "fs", F.inline(stft_of(nperseg, noverlap)("samples", "fs")))

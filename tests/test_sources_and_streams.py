@@ -72,8 +72,16 @@ def test_sidecars(spark, folder):
 
 
 def test_written_tables_read_back(spark, tmp_path):
+    short = spark.createDataFrame([("r", 1.0)], "recording_id string, Lpeak_Z double")
+    with pytest.raises(ValueError, match="time_s"):
+        W.shot_table(short, ["recording_id"])
     m = spark.createDataFrame([("r", 1, 123.456, 0.000123456789, float("nan"), True, ["x", "y"])],
                               "recording_id string, shot_number int, Lpeak_Z double, specific_impulse_Pa_s double, kurtosis double, valid boolean, notes array<string>")
+    for c in W.SHOT_COLUMNS.values():
+        if c not in m.columns:
+            m = m.withColumn(c, F.lit(None).cast("double"))
+    m = m.withColumn("duration_ms", F.lit(64.0))
+    assert len(W.shot_table(m, []).columns) == 31
     W.write_shot_metrics(m, spark.createDataFrame([("r", "dB SPL")], "recording_id string, level_unit string"), ["recording_id"], str(tmp_path))
     row = spark.read.csv(f"{tmp_path}/shots", header=True).first()
     assert (row.Lpeak_Z, row.specific_impulse, row.kurtosis, row.valid, row.notes) == ("123.46", "0.000123457", None, "true", "x; y")
