@@ -41,41 +41,78 @@ _TRANSFORMED = T.StructType([T.StructField("envelope", T.ArrayType(T.DoubleType(
                              *[T.StructField(n, T.DoubleType()) for n in _WEIGHTED_FIELDS]])
 
 
+def _power(v):
+    return 10 * np.log10(np.maximum(v, L.EPS) / L.P_REF**2)
+
+
+def _transforms(out: pd.DataFrame, envelopes: pd.Series, at, z: np.ndarray, a: np.ndarray, c: np.ndarray, rate: float) -> None:
+    """Fill the rows `at` from windows of equal shape: plain, A- and C-weighted."""
+    env = dsp.envelope(z)
+    start, stop = dsp.energy_bounds(z)
+    n = np.arange(z.shape[-1])
+    span = (n >= start[:, None]) & (n < stop[:, None])
+    hop = max(1, int(rate) // 1000)
+    squares = {"A": a * a, "C": c * c, "Z": z * z}
+    for kind in ("A", "C"):
+        out.loc[at, f"Lpeak_{kind}"] = _power(squares[kind].max(axis=-1))
+        out.loc[at, f"L{kind}E"] = _power((squares[kind] * span).sum(axis=-1) / rate)
+    for kind in ("A", "Z"):
+        for letter, tau in (("F", dsp.FAST_S), ("S", dsp.SLOW_S)):
+            y = dsp.exponential_average(squares[kind], rate, tau)[..., ::hop]
+            out.loc[at, f"L{kind}{letter}max"] = _power(y.max(axis=-1))
+        out.loc[at, f"L{kind}Imax"] = _power(dsp.impulse_average(squares[kind], rate).max(axis=-1))
+    first, last = dsp.blast_bounds(env, rate)
+    for i, row, e, lo, hi in zip(at, z, env, first, last):
+        envelopes[i] = e
+        out.loc[i, "spectral_centroid_Hz"] = dsp.centroid(row[lo:hi], rate)
+
+
 @F.pandas_udf(_TRANSFORMED)
 def transforms_of(samples: pd.Series, fs: pd.Series) -> pd.DataFrame:
     """Everything of a window that needs a transform, a filter or a detector, in one pass over Arrow."""
     out = pd.DataFrame(np.nan, index=samples.index, columns=_WEIGHTED_FIELDS)
     envelopes = pd.Series([[]] * len(samples), index=samples.index, dtype=object)
-
-    def power(v):
-        return 10 * np.log10(np.maximum(v, L.EPS) / L.P_REF**2)
-
     for at, x, rate in _per_shape(samples, fs):
-        env = dsp.envelope(x)
-        start, stop = dsp.energy_bounds(x)
-        n = np.arange(x.shape[-1])
-        span = (n >= start[:, None]) & (n < stop[:, None])
-        hop = max(1, int(rate) // 1000)
-        z2 = x * x
-        for kind in ("A", "C"):
-            w2 = dsp.weighted(x, rate, kind) ** 2
-            out.loc[at, f"Lpeak_{kind}"] = power(w2.max(axis=-1))
-            out.loc[at, f"L{kind}E"] = power((w2 * span).sum(axis=-1) / rate)
-            if kind == "A":
-                a2 = w2
-        for kind, squared in (("A", a2), ("Z", z2)):
-            for letter, tau in (("F", dsp.FAST_S), ("S", dsp.SLOW_S)):
-                y = dsp.exponential_average(squared, rate, tau)[..., ::hop]
-                out.loc[at, f"L{kind}{letter}max"] = power(y.max(axis=-1))
-            out.loc[at, f"L{kind}Imax"] = power(dsp.impulse_average(squared, rate).max(axis=-1))
-        first, last = dsp.blast_bounds(env, rate)
-        for i, row, e, lo, hi in zip(at, x, env, first, last):
-            envelopes[i] = e
-            out.loc[i, "spectral_centroid_Hz"] = dsp.centroid(row[lo:hi], rate)
+        _transforms(out, envelopes, at, x, dsp.weighted(x, rate, "A"), dsp.weighted(x, rate, "C"), rate)
     out.insert(0, "envelope", envelopes)
     return out
 
 
+_CONDITIONED = T.StructType([T.StructField("samples", T.ArrayType(T.DoubleType())), *_TRANSFORMED.fields])
+
+
+def conditioned_of(cutoff: float | None):
+    """Transforms of windows that come with `lead` samples before them.
+
+    The window is high-passed at `cutoff`. The weighting filters run over the lead as well, so that what was ringing
+    before the window is in them, and the lead is cut off after. `samples` is the conditioned window.
+    """
+    @F.pandas_udf(_CONDITIONED)
+    def run(samples: pd.Series, fs: pd.Series, lead: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame(np.nan, index=samples.index, columns=_WEIGHTED_FIELDS)
+        envelopes = pd.Series([[]] * len(samples), index=samples.index, dtype=object)
+        windows = pd.Series([[]] * len(samples), index=samples.index, dtype=object)
+
+        def clean(x, rate):
+            return x if cutoff is None else dsp.high_passed(x, rate, cutoff)
+
+        for k in lead.unique():
+            some = samples[lead == k]
+            for at, x, rate in _per_shape(some, fs[some.index]):
+                if x.shape[-1] <= k:
+                    continue
+                z, whole = clean(x[..., k:], rate), clean(x, rate)
+                a, c = (dsp.weighted(whole, rate, kind)[..., k:] for kind in ("A", "C"))
+                _transforms(out, envelopes, at, z, a, c, rate)
+                for i, row in zip(at, z):
+                    windows[i] = row
+        out.insert(0, "envelope", envelopes)
+        out.insert(0, "samples", windows)
+        return out
+
+    return run
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("band_Hz", T.DoubleType()),
                                           T.StructField("exposure_dB", T.DoubleType())])))
 def band_exposure_of(samples: pd.Series, fs: pd.Series) -> pd.Series:
@@ -257,9 +294,16 @@ def window_noise(df: DataFrame, samples: str = "samples", fs: str = "fs", span:
         "snr_dB", L.amplitude_level(L.peak(x)) - F.col("noise_floor_dB"))
 
 
-def shot_metrics(windows: DataFrame, clipped: str | None = None, truncated: str | None = None) -> DataFrame:
-    """Every per-shot metric of windows with samples (Pa) and fs."""
-    out = windows.withColumn("_w", transforms_of("samples", "fs")).withColumn("envelope", F.col("_w")["envelope"])
+def shot_metrics(windows: DataFrame, clipped: str | None = None, truncated: str | None = None, lead: str | None = None,
+                 cutoff: float | None = 10.0) -> DataFrame:
+    """Every per-shot metric of windows with samples (Pa) and fs.
+
+    `lead` names a column with the number of samples that stand before the window in `samples`; `cutoff` is the
+    high-pass in Hz, None for none.
+    """
+    led = F.lit(0) if lead is None else F.coalesce(F.col(lead), F.lit(0))
+    out = windows.withColumn("_led", led.cast("int")).withColumn("_w", conditioned_of(cutoff)("samples", "fs", "_led"))
+    out = out.withColumn("samples", F.col("_w")["samples"]).withColumn("envelope", F.col("_w")["envelope"])
     out = out.withColumn("span", integration_span()).withColumn("blast", blast_span())
     out = out.withColumn("_blast", part("samples", F.col("blast")["start"], F.col("blast")["stop"]))
     out = out.withColumns({
@@ -277,6 +321,7 @@ def shot_metrics(windows: DataFrame, clipped: str | None = None, truncated: str
     notes = F.array_compact(F.array(
         F.when(~F.col("rise_time_resolved") & (F.col("rise_time_us") > 0), "rise time is an upper bound"),
         F.when(F.col("clipped"), "clipped: levels are understated"),
-        F.when(F.col("window_truncated"), "window truncated: exposure under-reports the event")))
+        F.when(F.col("window_truncated"), "window truncated: exposure under-reports the event"),
+        F.when(F.col("_led") == 0, "weighting filters started without context")))
     return out.withColumn("valid", ~F.col("clipped")).withColumn("notes", notes).drop(
-        "envelope", "_w", "_blast", "samples")
+        "envelope", "_w", "_blast", "_led", "samples")

@@ -16,6 +16,7 @@ from percussa.functions import levels as L
 from percussa.operators import calibration as C
 from percussa.operators import detection as D
 from percussa.operators import display as N
+from percussa.operators import quality as Q
 from percussa.operators import shots as G
 from percussa.operators import strings as S
 from percussa.session import checkpointed
@@ -79,18 +80,21 @@ def detect(samples: DataFrame, keys: list[str], s: Detection, detection_samples:
     return Found(thr, cand, accepted, D.assign_window(shots.join(sizes, keys), s.pre, s.post), sizes)
 
 
-def preview(samples: DataFrame, keys: list[str], s: Detection, columns: int = 1600) -> DataFrame:
+def preview(samples: DataFrame, keys: list[str], s: Detection, columns: int = 1600,
+            recordings: DataFrame | None = None) -> DataFrame:
     """Counts, threshold and a display envelope per recording, in dB re full scale.
 
-    A recording without samples to look at keeps its row, with the problem named.
+    `recordings` (keys) names those that must have a row; one without samples keeps it, with the problem named.
     """
     found = detect(samples, keys, s)
     shots = found.shots.groupBy(*keys).agg(F.count("*").alias("n_shots"))
     full_scale = L.full_scale_level(F.lit(1.0))
     drawn = N.minmax_envelope(samples, keys, found.sizes, columns).groupBy(*keys).agg(
         F.max("columns").alias("columns"), F.array_sort(F.collect_list(F.struct("k", "lo", "hi"))).alias("envelope"))
-    out = found.sizes.join(found.thresholds, keys, "left").join(shots, keys, "left").join(drawn, keys, "left")
-    problem = F.when(F.col("threshold_dB").isNull(), "too short for an envelope")
+    every = found.sizes if recordings is None else recordings.select(*keys).distinct().join(found.sizes, keys, "left")
+    out = every.join(found.thresholds, keys, "left").join(shots, keys, "left").join(drawn, keys, "left")
+    problem = F.when(F.col("size").isNull(), "no samples could be read").when(
+        F.col("threshold_dB").isNull(), "too short for an envelope")
     return out.na.fill(0, ["n_shots"]).select(
         *keys, "n_shots", (F.col("threshold_dB") - full_scale).alias("threshold_dB"), (F.col("peak_dB") - full_scale).alias("peak_dB"),
         "columns", "envelope", problem.alias("problem"))
@@ -102,16 +106,45 @@ def long_samples(chunks: DataFrame, keys: list[str], chunk: int) -> DataFrame:
     return rows.select(*keys, (F.col("chunk_id") * chunk + F.col("_p")).alias("n"), F.col("x").cast("double").alias("x"))
 
 
-def analyse(chunks: DataFrame, keys: list[str], chunk: int, s: Detection) -> tuple[Found, DataFrame, DataFrame]:
+def clipped_runs(samples: DataFrame, keys: list[str], full_scale: DataFrame) -> DataFrame:
+    """Runs pinned at full scale or at a recording's own ceiling, with the overlap that flags a shot.
+
+    `full_scale` is (keys, factor): the pressure that a full-scale sample stands for.
+    """
+    scaled = samples.join(full_scale, keys).select(*keys, "n", (F.col("x") / F.col("factor")).alias("x"))
+    rail = Q.pinned_runs(scaled, keys, F.abs("x") >= 1 - Q.CLIP_TOLERANCE).where(F.col("length") >= Q.RAIL_RUN)
+    top = Q.ceiling_clipping(scaled, keys).where("detected").select(*keys, "ceiling_FS")
+    near = scaled.join(top, keys)
+    low = Q.pinned_runs(near, keys, F.abs(F.abs("x") - F.col("ceiling_FS")) <= F.col("ceiling_FS") * Q.CLIP_TOLERANCE).where(
+        F.col("length") >= Q.CEILING_RUN)
+    return rail.withColumn("needed", F.lit(Q.RAIL_RUN)).unionByName(low.withColumn("needed", F.lit(Q.CEILING_RUN)))
+
+
+def analyse(chunks: DataFrame, keys: list[str], chunk: int, s: Detection, full_scale: DataFrame | None = None,
+            lead_ms: float = 200.0) -> tuple[Found, DataFrame, DataFrame]:
     """(events, per-shot metrics, string statistics) of chunked recordings in Pa.
 
-    `chunks` is (keys, chunk_id, fs, samples) with `chunk` samples each.
+    `chunks` is (keys, chunk_id, fs, samples) with `chunk` samples each, all at the rate of `s`; another rate is an
+    error. With `full_scale` (keys, factor) shots that touch clipping are flagged and stay out of the statistics.
+    Windows carry up to `lead_ms` of what came before, for the weighting filters.
     """
+    other = chunks.where(F.col("fs") != s.fs).limit(1).count()
+    if other:
+        raise ValueError(f"all chunks must have the rate of the settings, {s.fs}")
     rows = chunks.select(*keys, "chunk_id", "fs", F.col("samples").cast("array<double>").alias("samples"))
     limited = C.filtered_chunks(rows, keys, C.band_limit)
     found = detect(long_samples(rows, keys, chunk), keys, s, long_samples(limited, keys, chunk))
-    windows = D.extract_windows(found.shots.select(*keys, "shot_number", "idx", "window_start", "window_end", "truncated"),
+    if full_scale is None:
+        shots = found.shots.withColumn("_clipped", F.lit(False))
+    else:
+        runs = clipped_runs(long_samples(rows, keys, chunk), keys, full_scale)
+        shots = D.flag_clipped(found.shots, runs, keys).withColumnRenamed("clipped", "_clipped")
+    before = F.least(F.lit(int(lead_ms * s.fs / 1000)), F.col("window_start")).cast("int")
+    shots = shots.withColumn("_lead", before).withColumn("window_start", F.col("window_start") - F.col("_lead"))
+    windows = D.extract_windows(shots.select(*keys, "shot_number", "idx", "window_start", "window_end", "truncated", "_clipped", "_lead"),
                                 rows.select(*keys, "chunk_id", "samples"), keys, chunk)
-    metrics = checkpointed(G.shot_metrics(windows.withColumn("fs", F.lit(s.fs)), truncated="truncated"))
+    made = G.shot_metrics(windows.withColumn("fs", F.lit(s.fs)), "_clipped", "truncated", "_lead")
+    made = made.withColumn("window_start", F.col("window_start") + F.col("_lead")).withColumn("time_s", F.col("idx") / F.col("fs"))
+    metrics = checkpointed(made.drop("_clipped", "_lead"))
     names = [*S.LEVEL_METRICS, *S.PLAIN_METRICS]
     return found, metrics, S.aggregate_string(metrics, keys, names)
