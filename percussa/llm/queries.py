@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from percussa.llm import oracles
 from percussa.llm.common import table
 from percussa.llm.line_dedup import line_dedup
 from percussa.llm.minhash_join import near_duplicates
@@ -31,7 +32,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op1_suffix_dedup")
+@query("op1_suffix_dedup", oracles.SUFFIX_DEDUP)
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"), length=50)
     return out.select(
@@ -39,7 +40,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op3_minhash_join")
+@query("op3_minhash_join", oracles.NEAR_DUPLICATES)
 def op3_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=75)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -57,7 +58,7 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-@query("op8_mixing")
+@query("op8_mixing", oracles.MIXING)
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = mix(docs, quality=labels.groupBy("doc_id").agg((F.lit(0.5) + F.max("quality")).alias("quality")))
@@ -87,7 +88,7 @@ def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
-@query("op4_line_dedup")
+@query("op4_line_dedup", oracles.LINE_DEDUP)
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"), width=5, percent=75)
     return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines",

@@ -487,3 +487,20 @@ def test_encoders_with_small_tables():
     for make in (lambda n: token_codes.Encoder(BPE, n), lambda n: pieces.Encoder(pieces.Pieces(PIECES), n)):
         small, large = make(20), make(10**6)
         assert [bytes(x) for t in texts for x in small([t])] == [bytes(x) for x in large(texts)]
+
+
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op3_minhash_join", "op4_line_dedup", "op8_mixing", "op10_warc"])
+def test_queries_equal_their_sql(spark, name):
+    import oracle_check
+
+    text, ok = oracle_check.compare(spark, oracle_check.database("sf0.001"), "sf0.001", name)
+    assert ok, text
+
+
+@pytest.mark.parametrize("name", ["op2_order_minhash", "op5_quality_rules", "op6_token_codes", "op7_pieces", "op9_toxicity"])
+def test_queries_have_a_row_for_each_document(spark, name):
+    from percussa.llm.queries import QUERIES
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
