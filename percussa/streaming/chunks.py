@@ -180,19 +180,24 @@ def chunk_bands(led: DataFrame, weighting: str = "fast", hop_ms: float = 10.0, l
     return led.select(*KEYS, "chunk_id", F.inline(kernel("samples", "fs", "lead")))
 
 
+def keep_batch(batch: DataFrame, number: int, path: str) -> None:
+    """Write a micro-batch where only this number writes."""
+    batch.write.mode("overwrite").parquet(f"{path}/out/micro_batch={number}")
+
+
 def run_available(stream: DataFrame, path: str, mode: str = "append", pick: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Process what is there, write every micro-batch as a table, and return what was written.
 
-    In append mode the batches add up; in complete mode the last one stands.
+    In append mode the batches add up, each in a folder of its number, so a batch that is tried again replaces itself;
+    in complete mode the last one stands.
     """
-    def save(batch: DataFrame, _: int) -> None:
-        out = pick(batch) if pick else batch
-        out.write.mode("append" if mode == "append" else "overwrite").parquet(f"{path}/out")
+    def save(batch: DataFrame, number: int) -> None:
+        keep_batch(pick(batch) if pick else batch, number if mode == "append" else 0, path)
 
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/progress")
              .trigger(availableNow=True).foreachBatch(save).start())
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{path}/out")
+    return stream.sparkSession.read.parquet(f"{path}/out").drop("micro_batch")
 
 
 def two_pass(stream: DataFrame, path: str, detect: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -119,3 +119,10 @@ def test_running_ceiling_equals_the_batch_answer(spark, tmp_path):
     batch = Q.ceiling_clipping(long, ["recording_id"]).first()
     assert (last.ceiling_runs, last.ceiling_samples, last.longest_run) == (batch.runs, batch.samples, batch.longest_run) == (2, 14, 9)
     assert last.ceiling_detected == batch.detected and last.crest_dB == pytest.approx(batch.crest_dB)
+
+
+def test_a_batch_that_is_tried_again_is_kept_once(spark, tmp_path):
+    df = spark.range(5).withColumnRenamed("id", "chunk_id")
+    for number in (0, 1, 1):
+        O.keep_batch(df, number, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 10
