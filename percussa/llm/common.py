@@ -28,10 +28,16 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def stored(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write `df` to the shared folder as Parquet and read it back: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, what)
+    """Write `df` to the shared folder as Parquet and read it back: cuts the lineage and survives lost executors.
+
+    Nothing needs the shuffle files behind it any more. Spark deletes them once the driver has collected its garbage,
+    which a driver with little to do puts off, so it is asked to here; executors keep their disks for what follows.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = scratch(spark, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

@@ -82,7 +82,8 @@ def line_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
         F.min(F.struct("place", "p")).alias("first"))
     classes = stored(classes.select("k1", "k2", F.col("first.place").alias("place"), F.col("first.p.n").alias("n"),
                                     F.col("first.p.prefix").alias("prefix")), "lines")
-    postings = classes.select("place", "n", F.posexplode("prefix").alias("i", "token"))
+    # Counting and joining share one exchange by token.
+    postings = classes.select("place", "n", F.posexplode("prefix").alias("i", "token")).repartition("token")
     several = postings.groupBy("token").agg(F.count("*").alias("lines"), F.min(F.struct("place", "n", "i")).alias("head")).where("lines > 1")
     listed = stored(postings.join(several, "token"), "listed")
 
@@ -95,7 +96,9 @@ def line_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
         F.col("n"), F.col("head.n"), F.col("i"), F.col("head.i"))).select("place", F.col("head.place").alias("other")).distinct()
     pairs = stored(pairs, "pairs")
     # Full token sets of the lines that a comparison needs.
-    busy = stored(listed.select("place").distinct(), "busy")
+    busy = pairs.select("place").unionByName(pairs.select(F.col("other").alias("place"))).unionByName(
+        listed.where("lines > 2").select("place")).distinct()
+    busy = stored(busy, "busy")
     wanted = busy.groupBy(F.col("place.doc_id").alias("of")).agg(F.collect_set("place.at").alias("wanted"))
     held = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["of"])).select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"), "wanted").where(F.array_contains("wanted", F.col("at")))
