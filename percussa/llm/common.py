@@ -136,6 +136,17 @@ def write_file(folder: str, stem: str, data: bytes) -> str:
     return f"{folder.rstrip('/')}/{name}"
 
 
+def worker_keeps(name: str, make):
+    """What `make` gives, made once for each Python worker and kept from task to task under `name`."""
+    import sys
+    import types
+
+    state = sys.modules.setdefault("_kept_by_this_worker", types.ModuleType("_kept_by_this_worker"))
+    if not hasattr(state, name):
+        setattr(state, name, make())
+    return getattr(state, name)
+
+
 class Recent:
     """A bounded table in two generations: what was used lately stays, the rest goes when the older one is dropped."""
 

@@ -114,17 +114,21 @@ def line_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     # Of a posting's two members the first has been compared already.
     listed = listed.where("lines > 2")
     open_ = listed.where(F.col("place") != F.col("head.place")).join(matched, "place", "left_anti")
-    others = listed.where(F.col("place") != F.col("head.place")).join(open_.select("token").distinct(), "token", "left_semi").select(
-        "token", F.col("place").alias("other"), F.col("n").alias("m"), F.col("i").alias("j")).join(right, "other")
-    late = open_.select("token", "place", "n", "i").join(left, "place")
-    more = late.join(others, (late["token"] == others["token"]) & (F.col("other") < F.col("place"))
-                     & fits(F.col("n"), F.col("m"), F.col("i"), F.col("j")) & alike(F.col("x"), F.col("y")), "left_semi")
-    gone = matched.unionByName(more.select("place").distinct()).withColumn("gone", F.lit(True))
+    late = open_.select("token", "place", "n", "i")
+    others = listed.where(F.col("place") != F.col("head.place")).select(
+        F.col("token").alias("by"), F.col("place").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"))
+    meet = (F.col("token") == F.col("by")) & (F.col("other") < F.col("place")) & fits(F.col("n"), F.col("m"), F.col("i"), F.col("j"))
+    # Rows without any partner go before the token sets come in.
+    hopeful = stored(late.join(others, meet, "left_semi"), "late")
+    partners = stored(others.join(hopeful, meet, "left_semi"), "others")
+    more = hopeful.join(left, "place").join(partners.join(right, "other"), meet & alike(F.col("x"), F.col("y")), "left_semi")
+    more = stored(more.select("place").distinct(), "more")
+    gone = matched.unionByName(more).withColumn("gone", F.lit(True))
     verdicts = classes.select("k1", "k2", "place").join(gone, "place", "left").select(
         "k1", "k2", F.col("place").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    removed = (lines.select("doc_id", "at", _named(F.col("line"), 1).alias("k1"), _named(F.col("line"), 2).alias("k2"))
+    removed = stored(lines.select("doc_id", "at", _named(F.col("line"), 1).alias("k1"), _named(F.col("line"), 2).alias("k2"))
                .join(verdicts, ["k1", "k2"]).where(F.col("gone") | (F.struct("doc_id", "at") > F.col("first")))
-               .groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_set("at")).alias("removed_lines")))
+               .groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_set("at")).alias("removed_lines")), "removed")
     return _cut(docs, removed)
 
 

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from percussa.llm.common import Recent, mix64
+from percussa.llm.common import Recent, mix64, worker_keeps
 
 MARK = "▁"
-UNITS = 800_000           # units that a worker keeps
+UNITS = 600_000           # units that a worker keeps
 ROWS = 1 << 20            # characters of one matrix
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,8 +167,8 @@ class Encoder:
 def encode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
     """doc_id, ids and, if `check` is set, `decoded`: the text that the ids give back, else NULL."""
     def run(batches):
-        pieces = Pieces(path)
-        encoder = Encoder(pieces)
+        encoder = worker_keeps(f"pieces {path}", lambda: Encoder(Pieces(path)))
+        pieces = encoder.pieces
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for begin in range(0, len(texts), 512):

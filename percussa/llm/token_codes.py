@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from percussa.llm.common import Recent, file_system, range_cells, scratch, stored, write_file
+from percussa.llm.common import Recent, file_system, range_cells, scratch, stored, worker_keeps, write_file
 
 FILE = 4 << 20            # tokens in a file
 BLOCK = 512               # bits between two entries of a rank directory
-PIECES = 1_000_000        # pieces that a worker keeps
+PIECES = 700_000          # pieces that a worker keeps
 MAGIC = b"DACs0001"
 JOINED = 4096             # pieces encoded at a time
 _WHOLE = re.compile(r" [!-~À-ÿ](?:[^\s]*[!-~À-ÿ])?")
@@ -175,7 +175,7 @@ class Encoder:
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, tie, cell and the ids (with the end id) of each text as bytes of 2 or 4 each."""
     def run(batches):
-        encode = Encoder(path)
+        encode = worker_keeps(f"codes {path}", lambda: Encoder(path))
         last = np.array([end_id], encode.kind).tobytes()
         for batch in batches:
             texts = batch.column("text").to_pylist()
