@@ -2,13 +2,15 @@
 
 Native: one pass of array expressions makes the statistics of each text; no text is shuffled. The estimate runs on
 the transformed statistic vectors, which are rounded to integers, so that all sums are exact and reruns agree. It
-starts at the group's medians with the least scales as its spread, and takes concentration steps: the half of the rows
+starts at the group's medians with the least spreads as its spread, and takes concentration steps: the half of the rows
 nearest to the current centre gives the next centre and covariance. Distances are counted in cells, so a quantile is a
 small table of counts, whatever the size of a group.
 
 Vector: ln(1 + characters a word), ln(1 + symbols a word), share of lines that repeat one, share of words in repeated
-windows. LEAST_SCALE (a parameter) bounds each spread from below; most texts have no symbols and no repeats at all, and
-the plain estimate would then reject the first one.
+windows. Most texts have no symbols and no repeats at all, and the plain estimate would then reject the first one; so
+`reach` says how far from the centre a text of a group without spread lies when one value alone rejects it. The least
+spread of a value is its reach over the root of the cutoff; a spread is the larger of it and the estimate, never their
+sum. The base rule leaves shares of lines below 1 and of words up to 0.5, and each reach lies inside.
 
 Defined cases: a NULL text has no words and fails the base rule; NULL lang or source are values of their own; a group
 of fewer than `least_rows` texts that pass the base rule rejects nothing more; repeated rows count as often as they
@@ -23,9 +25,9 @@ from pyspark.sql import functions as F
 from percussa.llm.common import WORD, let, stored, words
 
 UNIT = 4096                                  # integers in one unit of a transformed statistic
-LEAST_SCALE = (0.07, 0.04, 0.12, 0.10)
+REACH = (0.4, 0.23, 0.5, 0.35)               # words 1.5 x as long, 0.26 symbols a word, half of the lines, 35 % of the words
 CUTOFF = 33.3768                             # 1 - 1e-6 quantile of chi-square with 4 degrees of freedom
-MEDIAN = 3.3567                              # its median
+MEDIANS = (0.4549, 1.3863, 2.3660, 3.3567)   # medians of chi-square with 1 to 4
 DIMS = range(4)
 PAIRS = [(i, j) for i in DIMS for j in DIMS if j <= i]
 
@@ -84,18 +86,24 @@ def _vector() -> list[Column]:
     return [F.round(v * UNIT).cast("long").alias(f"z{k}") for k, v in enumerate(values)]
 
 
-def _factor(params: DataFrame) -> DataFrame:
-    """Cholesky factor l{i}{j} of the covariance c{i}{j}, kept above the least scales."""
-    out = params
-    for k in DIMS:
-        out = out.withColumn(f"c{k}{k}", F.col(f"c{k}{k}") + F.lit((LEAST_SCALE[k] * UNIT) ** 2))
+def _factor(params: DataFrame, least: list[float]) -> DataFrame:
+    """Cholesky factor l{i}{j} of the covariance c{i}{j}, and `free`, how many spreads are above the least ones.
+
+    A pivot is a variance given the values before it. Raising those below the least variance adds to the diagonal
+    only, and only what is missing, so the matrix stays positive definite.
+    """
+    out, free = params, F.lit(0)
     for j in DIMS:
         inner = [F.pow(F.col(f"l{j}{k}"), 2) for k in range(j)]
-        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"c{j}{j}") - sum(inner, F.lit(0.0)), F.lit(1e-6))))
+        floor = F.lit((least[j] * UNIT) ** 2)
+        out = out.withColumn(f"v{j}", F.col(f"c{j}{j}") - sum(inner, F.lit(0.0)))
+        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"v{j}"), floor)))
+        free = free + (F.col(f"v{j}") > floor).cast("int")
         for i in range(j + 1, len(DIMS)):
             cross = [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)]
             out = out.withColumn(f"l{i}{j}", (F.col(f"c{i}{j}") - sum(cross, F.lit(0.0))) / F.col(f"l{j}{j}"))
-    return out.select("g", "n", *[f"m{k}" for k in DIMS], *[f"l{i}{j}" for i, j in PAIRS])
+    return out.select("g", "n", free.alias("free"), *[f"m{k}" for k in DIMS], *[f"c{i}{j}" for i, j in PAIRS],
+                      *[f"l{i}{j}" for i, j in PAIRS])
 
 
 def _with_distance(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
@@ -118,15 +126,15 @@ def _at_rank(cells: DataFrame, by: list[str], need: Column) -> DataFrame:
         "all", F.sum("n").over(Window.partitionBy(*by))).where(F.col("upto") >= need).groupBy(*by).agg(F.min("cell").alias("cell"))
 
 
-def robust_estimate(rows: DataFrame, steps: int, least_rows: int) -> DataFrame:
-    """g, centre, factor and the scale of distances for each group of `rows` (g, z0..z3)."""
+def robust_estimate(rows: DataFrame, least: list[float], steps: int, least_rows: int) -> DataFrame:
+    """g, centre and factor for each group of `rows` (g, z0..z3)."""
     half = F.floor((F.col("all") + len(DIMS) + 1) / 2)
     spread = rows.select("g", F.posexplode(F.array(*[f"z{k}" for k in DIMS])).alias("dim", "cell"))
     medians = _at_rank(spread.groupBy("g", "dim", "cell").agg(F.count("*").alias("n")), ["g", "dim"], half)
     counts = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows)
     centres = medians.groupBy("g").agg(*[F.max(F.when(F.col("dim") == k, F.col("cell"))).cast("double").alias(f"m{k}") for k in DIMS])
     params = centres.join(counts, "g").withColumns({f"c{i}{j}": F.lit(0.0) for i, j in PAIRS})
-    params = stored(_factor(params), "centre")
+    params = stored(_factor(params, least), "centre")
     for _ in range(steps):
         far = _with_distance(rows, params)
         limit = _at_rank(far.groupBy("g", _cell().alias("cell")).agg(F.count("*").alias("n")), ["g"], half)
@@ -140,23 +148,27 @@ def robust_estimate(rows: DataFrame, steps: int, least_rows: int) -> DataFrame:
         params = sums.select(
             "g", "n", *[(s[k] / h).alias(f"m{k}") for k in DIMS],
             *[(F.col(f"q{i}{j}").cast("double") / h - (s[i] / h) * (s[j] / h)).alias(f"c{i}{j}") for i, j in PAIRS])
-        params = stored(_factor(params), "centre")
-    # Half of the rows lie nearer than the median of chi-square if the spread is right.
+        params = stored(_factor(params, least), "centre")
+    # Half of the rows lie nearer than the median of chi-square if the spread is right. Values at their least spread
+    # hardly add to a distance, so they don't count as degrees of freedom; widening acts before the least spreads do.
     cells = _with_distance(rows, params).groupBy("g", _cell().alias("cell")).agg(F.count("*").alias("n"))
-    middle = _at_rank(cells, ["g"], half).select(
-        "g", F.greatest(F.lit(1.0), (F.pow(F.lit(2.0), (F.col("cell") + 1) / 8) - 1) / 16 / MEDIAN).alias("scale"))
-    return stored(params.join(middle, "g"), "estimate")
+    middle = (F.pow(F.lit(2.0), (F.col("cell") + 1) / 8) - 1) / 16
+    wider = F.when(F.col("free") > 0, F.greatest(F.lit(1.0), middle / F.get(F.array(*map(F.lit, MEDIANS)), F.col("free") - 1)))
+    params = params.join(_at_rank(cells, ["g"], half), "g").withColumn("wider", F.coalesce(wider, F.lit(1.0)))
+    params = params.withColumns({f"c{i}{j}": F.col(f"c{i}{j}") * F.col("wider") for i, j in PAIRS})
+    return stored(_factor(params, least), "estimate")
 
 
-def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, steps: int = 4, least_rows: int = 20) -> DataFrame:
+def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, steps: int = 4, least_rows: int = 20,
+                  reach: tuple[float, ...] = REACH) -> DataFrame:
     """`docs` with the statistics, `base_failed`, `distance` (NULL where not measured) and `kept`."""
     measured = text_statistics(docs.select("doc_id", "text", "lang", "source")).drop("text")
     measured = measured.withColumn("g", F.concat(_named("lang"), F.lit("|"), _named("source")))
     measured = stored(measured.select("*", *_vector()), "statistics")
-    estimate = robust_estimate(measured.where(~F.col("base_failed")).select("g", *[f"z{k}" for k in DIMS]), steps, least_rows)
-    out = _with_distance(measured, estimate, "left").withColumn(
-        "distance", F.when(~F.col("base_failed"), F.sqrt(F.col("d2") / F.col("scale"))))
+    passed = measured.where(~F.col("base_failed")).select("g", *[f"z{k}" for k in DIMS])
+    estimate = robust_estimate(passed, [r / cutoff ** 0.5 for r in reach], steps, least_rows)
+    out = _with_distance(measured, estimate, "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt("d2")))
     return out.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
         "base_failed", "distance",
-        (~F.col("base_failed") & F.coalesce(F.col("distance") * F.col("distance") <= cutoff, F.lit(True))).alias("kept"))
+        (~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).alias("kept"))

@@ -263,6 +263,30 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert {r.doc_id for r in got if not r.kept} == {r[0] for r in junk}
 
 
+@pytest.mark.parametrize("spread", [False, True])
+def test_quality_rejects_an_outlier_in_each_value_alone(spark, spread):
+    def text(seed, longer=0, symbols=0, lines=0, repeats=0):
+        # 100 words of 4 to 6 letters in lines of one; `repeats` words stand in windows that occur twice.
+        r = np.random.default_rng(seed)
+        size = 4 + longer + (seed % 7 if spread else 0)
+        w = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), size + r.integers(0, 3))) for _ in range(100)]
+        w[100 - repeats // 2:] = w[:repeats // 2]
+        w = [x + "#" * (k < symbols) for k, x in enumerate(w)]
+        # Equal lines of the usual length that stand between others repeat no window.
+        return "\n".join(x for k, x in enumerate(w) for x in ((x, "plain"[:size + 1], "queue"[:size + 1]) if k < lines else (x,)))
+
+    odd = {1000: text(1, longer=9 if spread else 4), 1001: text(2, symbols=60), 1002: text(3, lines=100), 1003: text(4, repeats=42)}
+    fine = {1100: text(7, longer=1), 1101: text(9, symbols=10), 1102: text(10, lines=15), 1103: text(11, repeats=20)}
+    rows = {**{100 + k: text(100 + k) for k in range(300)}, **odd, **fine}
+    if spread:
+        odd = {k: t for k, t in odd.items() if k != 1000}
+        rows.pop(1000)
+    assert not any(statistics(t)[5] for t in rows.values())
+    got = quality_rules.quality_rules(spark.createDataFrame(
+        [(k, t, "en", "s") for k, t in rows.items()], "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in got if not r.kept} == set(odd)
+
+
 # Token codes
 
 @settings(max_examples=40, deadline=None)
