@@ -6,7 +6,8 @@ number of set bits before each BLOCK bits, so the place of a token's next byte i
 counted words away: any token is read without decoding others.
 
 Texts are cut at single spaces between printable characters, where the byte-level pre-tokenizer always cuts; the
-library encodes each distinct piece once, and a bounded table keeps the pieces seen so far.
+library encodes each distinct piece once, and a bounded table keeps the pieces seen so far. Added tokens of the
+tokenizer file are recognised, as the library does unless told otherwise; a text that holds one is encoded whole.
 
 Texts are encoded where they are read; their ids move to ranges of doc_id and are streamed, in order, to files of about
 FILE tokens; the table of reports names the files that count, and gives each its first token's place among all.
@@ -129,20 +130,37 @@ def open_file(data: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
 
 
 class Encoder:
-    """Encodes texts with a tokenizers file; the bytes of a text's ids."""
+    """Encodes texts with a tokenizers file; the bytes of a text's ids.
 
-    def __init__(self, path: str, kept: int = PIECES):
+    `added` recognises the file's added tokens, the library's default; without it their text is cut like any other.
+    """
+
+    def __init__(self, path: str, kept: int = PIECES, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = self.tokenizer.get_added_tokens_decoder().values() if added else ()
+        self.added = re.compile("|".join(re.escape(t.content) for t in tokens)) if tokens else None
+        # A token that is sought in the normalized text can stand in a text that doesn't hold it literally.
+        if self.tokenizer.normalizer is not None and any(t.normalized for t in tokens):
+            self.added = re.compile("")
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.seen = Recent(kept)
         # Joining pieces needs a tokenizer with one id for a line feed.
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.feed = feed[0] if len(feed) == 1 else -1
+        self.feed = feed[0] if len(feed) == 1 and not any("\n" in t.content for t in tokens) else -1
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        whole = [k for k, x in enumerate(texts) if self.added.search(x)] if self.added else []
+        if not whole:
+            return self._pieced(texts)
+        out = self._pieced(["" if self.added.search(x) else x for x in texts])
+        for k, e in zip(whole, self.tokenizer.encode_batch([texts[k] for k in whole], add_special_tokens=False)):
+            out[k] = np.array(e.ids, self.kind).tobytes()
+        return out
+
+    def _pieced(self, texts: list[str]) -> list[bytes]:
         cut = []
         for text in texts:
             parts = _CUT.split(text)
@@ -175,7 +193,7 @@ class Encoder:
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, tie, cell and the ids (with the end id) of each text as bytes of 2 or 4 each."""
     def run(batches):
-        encode = worker_keeps(f"codes {path}", lambda: Encoder(path))
+        encode = worker_keeps(f"codes {path}", lambda: Encoder(path, added=True))
         last = np.array([end_id], encode.kind).tobytes()
         for batch in batches:
             texts = batch.column("text").to_pylist()

@@ -309,6 +309,21 @@ def test_encoder_is_the_library():
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_are_recognised(spark):
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(BPE)
+    texts = ["a <|endoftext|> b", "plain text, no mark", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "", "<|endoftext| > a", "  a<|endoftext|>  b "]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0]
+    got = token_codes.Encoder(BPE, added=True)(texts)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+    at, rows = 0, []
+    for k, ids in enumerate(want):
+        rows.append((k, at, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())))
+        at += len(ids) + 1
+    assert sorted(map(tuple, token_codes.coded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BPE).collect())) == rows
+
+
 def test_token_files(docs, repeated, empty, spark):
     got = sorted(map(tuple, token_codes.coded(docs, BPE).collect()))
     encode, at, want = token_codes.Encoder(BPE), 0, []
