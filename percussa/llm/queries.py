@@ -14,6 +14,7 @@ from percussa.llm.mixing import mix
 from percussa.llm.order_minhash import edited_fingerprints
 from percussa.llm.pieces import encode
 from percussa.llm.quality_rules import quality_rules
+from percussa.llm.resampling import resample
 from percussa.llm.suffix_dedup import suffix_dedup
 from percussa.llm.token_codes import coded
 from percussa.llm.toxicity import toxicity
@@ -111,3 +112,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     out = toxicity(table(spark, sf_dir, "documents"), labels, "toxic", threshold=0.3)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op13_target_resampling", oracles.RESAMPLING)
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000,
+                    least_words=20, percent=10, seed=2024)
