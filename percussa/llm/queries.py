@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from percussa.llm import oracles
 from percussa.llm.common import table
+from percussa.llm.divergence import divergence
 from percussa.llm.line_dedup import line_dedup
 from percussa.llm.minhash_join import near_duplicates
 from percussa.llm.mixing import mix
@@ -118,3 +119,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000,
                     least_words=20, percent=10, seed=2024)
+
+
+@query("op11_source_divergence", oracles.DIVERGENCE)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"), least_docs=3, most_terms=200)
