@@ -12,6 +12,7 @@ from percussa.llm.divergence import divergence
 from percussa.llm.line_dedup import line_dedup
 from percussa.llm.minhash_join import near_duplicates
 from percussa.llm.mixing import mix
+from percussa.llm.ngram_join import ngram_join
 from percussa.llm.order_minhash import edited_fingerprints
 from percussa.llm.pieces import encode
 from percussa.llm.quality_rules import quality_rules
@@ -124,3 +125,8 @@ def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_source_divergence", oracles.DIVERGENCE)
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"), least_docs=3, most_terms=200)
+
+
+@query("op12_ngram_join", oracles.NGRAM_JOIN)
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), width=3, percent=90)
