@@ -13,12 +13,11 @@ from pyspark.sql import types as T
 from percussa.functions import dsp
 from percussa.functions import levels as L
 from percussa.operators.calibration import with_context
+from percussa.operators.hierarchy import decayed_before
 from percussa.operators.ordered import neighbours
 
 DOUBLES = T.ArrayType(T.DoubleType())
 TIME_CONSTANTS = {"fast": 0.125, "slow": 1.0}
-# A start value decayed below this share of itself cannot change a double.
-NEGLIGIBLE = 41.0
 
 
 def _detector(fn):
@@ -54,37 +53,27 @@ def max_exponential(samples: str, fs: str, tau: float, hop: Column) -> Column:
     return L.let(share, walk)
 
 
-def _carry(ends: DataFrame, keys: list[str], chunk: int, fs: int, tau: float, agg) -> DataFrame:
-    """What the chunks before a chunk hand to it.
+def _started(chunks: DataFrame, keys: list[str], chunk: int, tau: float, kernel, how: str) -> DataFrame:
+    """Chunks with `start`, what a detector holds when the chunk begins: a prefix scan over the ends of all chunks before."""
+    begin = F.col("chunk_id") * chunk
+    ends = chunks.where(F.size("samples") > 0).select(
+        *keys, "chunk_id", begin.alias("begin"), (begin + F.size("samples")).alias("at"), (F.col("fs") * tau).alias("scale"),
+        F.element_at(kernel("samples", "fs", F.lit(0.0)), -1).alias("end"))
+    starts = decayed_before(ends, keys, "chunk_id", "at", "end", "scale", how)
+    return chunks.join(starts, [*keys, "chunk_id"], "left").withColumn("start", F.coalesce("start", F.lit(0.0)))
 
-    The end value of a chunk decays by a fixed factor per chunk, so each chunk
-    sends its decayed value ahead as far as it can matter. With chunks longer
-    than the time constant that is one chunk; no scan over the recording.
-    """
-    reach = max(1, math.ceil(NEGLIGIBLE * tau * fs / chunk))
-    last = ends.groupBy(*keys).agg(F.max("chunk_id").alias("_last"))
-    stop = F.least(F.col("_last"), F.col("chunk_id") + reach)
-    sent = ends.join(last, keys).where(F.col("_last") > F.col("chunk_id")).select(
-        *keys, "end", "chunk_id", F.explode(F.sequence(F.col("chunk_id") + 1, stop)).alias("_to"))
-    decay = F.exp(-(F.col("_to") - F.col("chunk_id") - 1) * (chunk / (fs * tau)))
-    sent = sent.select(*keys, F.col("_to").alias("chunk_id"), (F.col("end") * decay).alias("start"))
-    first = ends.select(*keys, "chunk_id", F.lit(0.0).alias("start"))
-    return sent.unionByName(first).groupBy(*keys, "chunk_id").agg(agg("start").alias("start"))
-
-
-def exponential_chunks(chunks: DataFrame, keys: list[str], chunk: int, fs: int, tau: float) -> DataFrame:
-    """Exponential average of squares over a chunked recording, seamless at the borders."""
+
+def exponential_chunks(chunks: DataFrame, keys: list[str], chunk: int, tau: float) -> DataFrame:
+    """Exponential average of squares over a chunked recording, seamless at the borders; each row has its own rate."""
     kernel = exponential_of(tau)
-    ends = chunks.select(*keys, "chunk_id", F.element_at(kernel("samples", "fs", F.lit(0.0)), -1).alias("end"))
-    started = chunks.join(_carry(ends, keys, chunk, fs, tau, F.sum), [*keys, "chunk_id"])
+    started = _started(chunks, keys, chunk, tau, kernel, "sum")
     return started.select(*keys, "chunk_id", "fs", kernel("samples", "fs", "start").alias("mean_square"))
 
 
-def impulse_chunks(chunks: DataFrame, keys: list[str], chunk: int, fs: int) -> DataFrame:
+def impulse_chunks(chunks: DataFrame, keys: list[str], chunk: int) -> DataFrame:
     """35 ms average followed by the decaying hold, over a chunked recording."""
-    attack = exponential_chunks(chunks, keys, chunk, fs, dsp.IMPULSE_S).withColumnRenamed("mean_square", "samples")
-    ends = attack.select(*keys, "chunk_id", F.element_at(hold_of("samples", "fs", F.lit(0.0)), -1).alias("end"))
-    started = attack.join(_carry(ends, keys, chunk, fs, dsp.HOLD_S, F.max), [*keys, "chunk_id"])
+    attack = exponential_chunks(chunks, keys, chunk, dsp.IMPULSE_S).withColumnRenamed("mean_square", "samples")
+    started = _started(attack, keys, chunk, dsp.HOLD_S, hold_of, "max")
     return started.select(*keys, "chunk_id", "fs", hold_of("samples", "fs", "start").alias("mean_square"))
 
 

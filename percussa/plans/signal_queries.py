@@ -220,7 +220,7 @@ def time_weighted_maxima(spark, sf):
   FROM (SELECT * FROM stream WHERE n % 80 = 0) a JOIN stream b USING (recording_id) WHERE b.n <= a.n GROUP BY 1, 2)
 SELECT recording_id, 'LZF' AS curve, {r("n / 8000::DOUBLE", "t")}, {r(pow_sql("y"), "level")} FROM f""")
 def level_curve(spark, sf):
-    avg = P.exponential_chunks(B.chunks(spark, sf), KEY, 64, FS, 0.005)
+    avg = P.exponential_chunks(B.chunks(spark, sf), KEY, 64, 0.005)
     return rounded(P.level_curve(avg, KEY, 80, 64, FS, "LZF"))
 
 
