@@ -232,25 +232,59 @@ def local_maxima(x):
 
 
 def keep_apart(position, value, distance):
-    """Mask of the entries a loudest-first selection keeps; later wins a tie."""
-    keep = np.zeros(len(position), bool)
-    taken = []
-    for k in np.lexsort((position, value))[::-1]:
-        if all(abs(position[k] - p) >= distance for p in taken):
-            taken.append(position[k])
-            keep[k] = True
+    """Mask of the entries a loudest-first selection keeps; later wins a tie. Positions rise.
+
+    In rounds: what is the loudest within its distance stays and silences the rest of it.
+    """
+    rank = np.empty(len(position), np.int64)
+    rank[np.lexsort((position, value))] = np.arange(len(position))
+    keep, left = np.zeros(len(position), bool), np.arange(len(position))
+    while len(left):
+        p, loud = position[left], rank[left]
+        beaten = np.zeros(len(left), bool)
+        step, pairs = 1, []
+        while step < len(left):
+            near = np.flatnonzero(p[step:] - p[:-step] < distance)
+            if not len(near):
+                break
+            pairs.append((near, near + step))
+            first = loud[near] > loud[near + step]
+            beaten[near[~first]] = True
+            beaten[near[first] + step] = True
+            step += 1
+        won = ~beaten
+        keep[left[won]] = True
+        gone = won.copy()
+        for a, b in pairs:
+            gone[b[won[a]]] = True
+            gone[a[won[b]]] = True
+        left = left[~gone]
     return keep
 
 
+def _lowest_before_higher(x, at):
+    """For each place the lowest value back to the nearest higher one (or the start), its own included.
+
+    Extremes of stretches of 1, 2, 4 ... values; all places go back together, longest stretches first.
+    """
+    high, low, width = [x], [x], 1
+    while 2 * width <= len(x):
+        high.append(np.maximum(high[-1][:-width], high[-1][width:]))
+        low.append(np.minimum(low[-1][:-width], low[-1][width:]))
+        width *= 2
+    height, begin, least = x[at], at.copy(), x[at].copy()
+    for k in range(len(high) - 1, -1, -1):
+        back = begin - (1 << k)
+        go = np.flatnonzero(back >= 0)
+        go = go[high[k][back[go]] <= height[go]]
+        least[go] = np.minimum(least[go], low[k][back[go]])
+        begin[go] = back[go]
+    return least
+
+
 def prominences(x, peaks):
     """Height of each peak above the higher of the two lowest points that separate it from a higher one."""
-    out = np.empty(len(peaks))
-    for i, p in enumerate(peaks):
-        left, right = x[:p][::-1], x[p + 1:]
-        bases = []
-        for side in (left, right):
-            above = np.flatnonzero(side > x[p])
-            reach = side[:above[0]] if len(above) else side
-            bases.append(min(reach.min(), x[p]) if len(reach) else x[p])
-        out[i] = x[p] - max(bases)
-    return out
+    peaks = np.asarray(peaks, np.int64)
+    left = _lowest_before_higher(x, peaks)
+    right = _lowest_before_higher(x[::-1], len(x) - 1 - peaks)
+    return x[peaks] - np.maximum(left, right)

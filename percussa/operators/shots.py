@@ -16,7 +16,7 @@ from percussa.functions import dsp
 from percussa.functions import levels as L
 
 
-def _per_shape(samples: pd.Series, fs: pd.Series):
+def per_shape(samples: pd.Series, fs: pd.Series):
     """Rows of equal length and rate together: (positions, 2-D array, rate)."""
     lengths = samples.map(len)
     for (n, rate), at in lengths.groupby([lengths, fs]).groups.items():
@@ -27,7 +27,7 @@ def _per_shape(samples: pd.Series, fs: pd.Series):
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def envelope_of(samples: pd.Series) -> pd.Series:
     out = pd.Series([[]] * len(samples), index=samples.index, dtype=object)
-    for at, x, _ in _per_shape(samples, pd.Series(1, index=samples.index)):
+    for at, x, _ in per_shape(samples, pd.Series(1, index=samples.index)):
         for i, e in zip(at, dsp.envelope(x)):
             out[i] = e
     return out
@@ -72,7 +72,7 @@ def transforms_of(samples: pd.Series, fs: pd.Series) -> pd.DataFrame:
     """Everything of a window that needs a transform, a filter or a detector, in one pass over Arrow."""
     out = pd.DataFrame(np.nan, index=samples.index, columns=_WEIGHTED_FIELDS)
     envelopes = pd.Series([[]] * len(samples), index=samples.index, dtype=object)
-    for at, x, rate in _per_shape(samples, fs):
+    for at, x, rate in per_shape(samples, fs):
         _transforms(out, envelopes, at, x, dsp.weighted(x, rate, "A"), dsp.weighted(x, rate, "C"), rate)
     out.insert(0, "envelope", envelopes)
     return out
@@ -98,7 +98,7 @@ def conditioned_of(cutoff: float | None):
 
         for k in lead.unique():
             some = samples[lead == k]
-            for at, x, rate in _per_shape(some, fs[some.index]):
+            for at, x, rate in per_shape(some, fs[some.index]):
                 if x.shape[-1] <= k:
                     continue
                 z, whole = clean(x[..., k:], rate), clean(x, rate)
@@ -118,7 +118,7 @@ def conditioned_of(cutoff: float | None):
 def band_exposure_of(samples: pd.Series, fs: pd.Series) -> pd.Series:
     """Exposure of a window in every third-octave band its rate carries."""
     out = pd.Series([[]] * len(samples), index=samples.index, dtype=object)
-    for at, x, rate in _per_shape(samples, fs):
+    for at, x, rate in per_shape(samples, fs):
         rows = {i: [] for i in at}
         for nominal, y in dsp.band_signals(x, rate):
             level = 10 * np.log10(np.maximum((y * y).sum(axis=-1) / rate, L.EPS) / L.P_REF**2)

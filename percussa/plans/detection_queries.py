@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from percussa.functions import levels as L
 from percussa.operators import detection as D
+from percussa.operators.arrivals import arrivals_of
 from percussa.plans import bindings as B
 from percussa.plans.catalog import query, r, rounded, rs
 from percussa.plans.shots_queries import ENV_SQL, amp_sql
@@ -316,7 +317,7 @@ strong AS (SELECT * FROM apart WHERE prominence >= 0.1::DOUBLE * top QUALIFY row
 
 
 def arrivals(spark, sf):
-    return B.windows(spark, sf).select("recording_id", "shot_number", D.arrivals_of("samples", "fs").alias("arrivals"))
+    return B.windows(spark, sf).select("recording_id", "shot_number", arrivals_of("samples", "fs").alias("arrivals"))
 
 
 @query(f"WITH RECURSIVE {ARRIVAL_SQL} SELECT recording_id, shot_number, {r('k / 8000::DOUBLE', 'offset_s', 9)}, {r('height', 'peak_Pa', 9)} FROM strong")
@@ -325,29 +326,43 @@ def shot_arrivals(spark, sf):
     return rounded(out.select("recording_id", "shot_number", "offset_s", "peak_Pa"), 9)
 
 
-@query()
+CHARACTER_SQL = """, sg AS (SELECT t.recording_id, t.shot_number, t.k, s.n - t.k AS i, least(16, 64 - t.k) AS len,
+   s.x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (s.n - t.k) / (least(16, 64 - t.k) - 1))) AS y
+   FROM strong t JOIN samples s USING (recording_id, shot_number) WHERE s.n >= t.k AND s.n < t.k + 16 AND 64 - t.k >= 8),
+mg AS (SELECT recording_id, shot_number, k, j * 8000::DOUBLE / any_value(len) AS f, sqrt(sum(y * cos(2 * pi() * j * i / len)) ** 2
+   + sum(y * sin(2 * pi() * j * i / len)) ** 2) AS m FROM sg, range(9) u(j) WHERE j <= len // 2 GROUP BY recording_id, shot_number, k, j),
+ce AS (SELECT recording_id, shot_number, k, CASE WHEN sum(m) > 1e-30 THEN sum(f * m) / sum(m) END AS centroid_Hz FROM mg GROUP BY 1, 2, 3),
+de AS (SELECT t.recording_id, t.shot_number, t.k, (min(e.n) - t.k) * 0.125::DOUBLE AS decay_ms FROM strong t JOIN env e USING (recording_id, shot_number)
+   WHERE e.n >= t.k AND e.e <= t.height * 10 ** -0.5::DOUBLE AND t.height > 1e-30 GROUP BY 1, 2, 3),
+ch AS (SELECT strong.*, centroid_Hz, decay_ms FROM strong LEFT JOIN ce USING (recording_id, shot_number, k) LEFT JOIN de USING (recording_id, shot_number, k))"""
+
+
+@query(f"""WITH RECURSIVE {ARRIVAL_SQL}{CHARACTER_SQL}
+SELECT recording_id, shot_number, {r("k / 8000::DOUBLE", "offset_s", 9)}, {r("centroid_Hz", "centroid_Hz", 6)}, {r("decay_ms", "decay_ms", 6)} FROM ch""")
 def arrival_character(spark, sf):
     out = arrivals(spark, sf).select("recording_id", "shot_number", F.inline("arrivals"))
     return rounded(out.select("recording_id", "shot_number", "offset_s", "centroid_Hz", "decay_ms"), 6, offset_s=9)
 
 
-@query(f"""WITH RECURSIVE {ARRIVAL_SQL}, o AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY shot_number) AS cnt, (shot_number % 5) * 0.001::DOUBLE AS want,
-   shot_number % 9 = 0 AS slow FROM strong WINDOW w AS (PARTITION BY shot_number ORDER BY k)),
+@query(f"""WITH RECURSIVE {ARRIVAL_SQL}{CHARACTER_SQL}, o AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY shot_number) AS cnt,
+   lag(centroid_Hz) OVER w AS c0, lag(decay_ms) OVER w AS d0, (shot_number % 5) * 0.001::DOUBLE AS want, shot_number % 9 = 0 AS slow
+   FROM ch WINDOW w AS (PARTITION BY shot_number ORDER BY k)),
 lo AS (SELECT shot_number, min_by(i, (-height, i)) AS loud FROM o GROUP BY 1),
+sp AS (SELECT shot_number, coalesce(c0 >= 2 * centroid_Hz AND decay_ms >= 2 * d0 AND centroid_Hz > 0 AND d0 > 0, false) AS decisive
+  FROM o JOIN lo USING (shot_number) WHERE i = loud),
 geo AS (SELECT a.shot_number, a.i AS gi, b.i AS gj FROM o a JOIN o b ON a.shot_number = b.shot_number AND b.i > a.i
   WHERE abs(b.k / 8000::DOUBLE - a.k / 8000::DOUBLE - a.want) <= 0.0005::DOUBLE QUALIFY row_number() OVER (PARTITION BY a.shot_number ORDER BY a.i, b.i) = 1),
-m AS (SELECT o.*, loud, gi, gj FROM o JOIN lo USING (shot_number) LEFT JOIN geo USING (shot_number)),
+m AS (SELECT o.*, loud, gi, gj, decisive FROM o JOIN lo USING (shot_number) JOIN sp USING (shot_number) LEFT JOIN geo USING (shot_number)),
 l AS (SELECT *, CASE WHEN slow OR cnt = 1 THEN -1 WHEN gi IS NOT NULL THEN gi ELSE loud - 1 END AS crack,
   CASE WHEN slow THEN loud WHEN cnt = 1 THEN -1 WHEN gj IS NOT NULL THEN gj ELSE loud END AS blast,
-  CASE WHEN slow THEN 'subsonic' WHEN cnt = 1 THEN 'none' WHEN gi IS NOT NULL THEN 'geometric' ELSE 'by character or order' END AS how FROM m)
+  CASE WHEN slow THEN 'subsonic' WHEN cnt = 1 THEN 'none' WHEN gi IS NOT NULL THEN 'geometric' WHEN loud > 0 AND decisive THEN 'spectral' ELSE 'ordering' END AS how FROM m)
 SELECT recording_id, shot_number, {r("k / 8000::DOUBLE", "offset_s", 9)}, CASE WHEN i = crack THEN 'crack' WHEN i = blast THEN 'blast' ELSE 'unclassified' END AS label,
  CASE WHEN i = crack OR i = blast THEN how ELSE 'none' END AS basis FROM l""")
 def classified_arrivals(spark, sf):
     k = F.col("shot_number")
     marked = D.classify_arrivals("arrivals", (k % 5) * 0.001, F.when(k % 9 == 0, False))
     out = arrivals(spark, sf).select("recording_id", "shot_number", F.inline(marked))
-    basis = F.when(F.col("basis").isin("spectral", "ordering"), "by character or order").otherwise(F.col("basis"))
-    return rounded(out.select("recording_id", "shot_number", "offset_s", "label", basis.alias("basis")), 9)
+    return rounded(out.select("recording_id", "shot_number", "offset_s", "label", "basis"), 9)
 
 
 @query(f"""WITH RECURSIVE {DETECT_SQL}, g AS (SELECT recording_id, count(*) AS n_shots, greatest(0, min(window_start) - 100) AS a, least(any_value(size), max(window_end) + 100) AS b FROM shots GROUP BY 1),
