@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from percussa.functions import levels as L
 from percussa.functions.stats import t_isf
-from percussa.operators.ordered import numbered, percentiles
+from percussa.operators.ordered import numbered, percentiles, union_all
 from percussa.session import checkpointed
 
 NORMAL_QUARTILE = 0.6745
@@ -52,30 +52,38 @@ def robust_spread_band(long: DataFrame, keys: list[str], value: str = "value",
     return c.withColumn("low", F.col("median") - half).withColumn("high", F.col("median") + half)
 
 
+# Entries of each end that a row of the walk holds; what lies beyond is fetched when the walk gets there.
+PORTION = 1024
+
 _STEPS = T.ArrayType(T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("_nth", T.LongType()),
     T.StructField("step", T.LongType()), T.StructField("esd_statistic", T.DoubleType())]))
+_WALKED = T.StructType([
+    T.StructField("steps", _STEPS), T.StructField("mean", T.DoubleType()), T.StructField("m2", T.DoubleType()),
+    T.StructField("step", T.LongType()), T.StructField("at", T.ArrayType(T.LongType())),
+    T.StructField("used", T.ArrayType(T.LongType())), T.StructField("paused", T.BooleanType())])
 
 
-@F.pandas_udf(_STEPS)
-def _esd_walk(n: pd.Series, total: pd.Series, m2: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-    """Remove the extremes of each group from its two ends, one step at a time.
+@F.pandas_udf(_WALKED)
+def _esd_walk(n: pd.Series, mean: pd.Series, m2: pd.Series, step: pd.Series, used: pd.Series, low: pd.Series,
+              high: pd.Series, most: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_walk(*row) for row in zip(n, mean, m2, step, used, low, high, most)], columns=_WALKED.names)
 
-    `low` and `high` hold the distinct candidate values of an end with their
-    counts and first rows, most extreme first. Beyond the candidates no step
-    can be significant, so the walk ends when both ends are used up.
-    """
-    return pd.Series([_walk(*row) for row in zip(n, total, m2, low, high)], dtype=object)
 
+def _walk(n, mean, m2, done, used, low, high, most):
+    """Remove the more deviant of a group's two ends, one step at a time, as far as a portion of both ends reaches.
 
-def _walk(n, total, m2, low, high):
-    mean, left, out = total / n, n, []
-    ends = [list(low), list(high)]
-    at, used = [0, 0], [0, 0]
-    for step in range(1, max(1, min(max(1, int(n * MAX_FRACTION)), n - 2)) + 1):
+    `done` steps lie behind, which have used `used` rows of the first entry of each end. `low` and `high` hold the next
+    distinct candidate values with their counts and first rows, most extreme first. Beyond the candidates no step can be
+    significant, so the walk ends when both ends are used up; it pauses when a full portion (`most` entries) is.
+    """
+    out, ends, at, used, paused = [], (low, high), [0, 0], list(used), False
+    for step in range(int(done) + 1, max(1, min(max(1, int(n * MAX_FRACTION)), n - 2)) + 1):
+        left = n - step + 1
         sd = math.sqrt(max(m2, 0.0) / (left - 1)) if left > 1 else 0.0
+        paused = any(at[e] == len(ends[e]) == most for e in (0, 1))
         open_ends = [e for e in (0, 1) if at[e] < len(ends[e])]
-        if left < 3 or sd <= 1e-12 * max(1.0, abs(mean)) or not open_ends:
+        if paused or left < 3 or sd <= 1e-12 * max(1.0, abs(mean)) or not open_ends:
             break
         # The larger deviation goes; the earlier row goes first on a tie.
         deviation, _, end = max((abs(ends[e][at[e]]["v"] - mean), -ends[e][at[e]]["f"], e) for e in open_ends)
@@ -84,11 +92,43 @@ def _walk(n, total, m2, low, high):
         out.append({"value": x, "_nth": used[end], "step": step, "esd_statistic": deviation / sd})
         if used[end] == ends[end][at[end]]["c"]:
             at[end], used[end] = at[end] + 1, 0
-        left -= 1
-        shifted = mean + (mean - x) / left
+        done = step
+        shifted = mean + (mean - x) / (left - 1)
         m2 -= (x - mean) * (x - shifted)
         mean = shifted
-    return out
+    return out, mean, m2, done, at, used, paused
+
+
+def _walked(ends: DataFrame, keys: list[str]) -> DataFrame:
+    """Steps of every group from its ranked ends (end 0 or 1, _i from 1): no row holds more than a portion of an end.
+
+    The state of a walk is a mean, a sum of squares and two ranks, so a paused walk goes on with the next portion.
+    """
+    entry = F.when(F.col("_v").isNotNull(), F.struct(F.col("_v").alias("v"), "c", "f"))
+
+    def portions(rows: DataFrame, by: list) -> DataFrame:
+        sides = [F.transform(F.array_sort(F.collect_list(F.when(F.col("end") == e, F.struct("_i", entry.alias("x"))))),
+                             lambda k: k["x"]).alias(name) for e, name in ((0, "_l"), (1, "_h"))]
+        return rows.groupBy(*by).agg(*sides)
+
+    begin = {"_mean": F.col("_sum") / F.col("_n"), "_step": F.lit(0).cast("long"), "_used": F.array(F.lit(0), F.lit(0)).cast("array<long>"),
+             "_at": F.array(F.lit(0), F.lit(0)).cast("array<long>")}
+    first = ends.where(F.col("_i") <= PORTION)
+    open_, out = portions(first, [*keys, "_n", "_sum", "_m2"]).withColumns(begin).drop("_sum"), []
+    while True:
+        walk = _esd_walk("_n", "_mean", "_m2", "_step", "_used", "_l", "_h", F.lit(PORTION))
+        walked = checkpointed(open_.select(*keys, "_n", "_at", walk.alias("_w")))
+        out.append(walked.select(*keys, "_n", F.inline("_w.steps")))
+        going = walked.where("_w.paused").select(
+            *keys, "_n", F.col("_w.mean").alias("_mean"), F.col("_w.m2").alias("_m2"), F.col("_w.step").alias("_step"),
+            F.col("_w.used").alias("_used"), F.zip_with("_at", "_w.at", lambda a, b: a + b).alias("_at"))
+        if going.isEmpty():
+            return union_all(out)
+        rows = ends.select(*keys, "end", "_i", "_v", "c", "f").join(going, keys)
+        rows = rows.where((F.col("_i") > F.get("_at", F.col("end"))) & (F.col("_i") <= F.get("_at", F.col("end")) + PORTION))
+        state = ["_n", "_mean", "_m2", "_step", "_used", "_at"]
+        open_ = going.join(portions(rows, keys), keys, "left").select(
+            *keys, *state, *[F.coalesce(c, F.array()).alias(c) for c in ("_l", "_h")])
 
 
 def esd_critical(n: Column, step: Column, t: Column) -> Column:
@@ -101,7 +141,7 @@ def generalised_esd(long: DataFrame, keys: list[str], order: str, alpha: float =
                     value: str = "value", limit: int | None = None) -> DataFrame:
     """Outlying rows by Rosner's test, with step, statistic and critical value.
 
-    A row of candidates per group holds only values that can be outliers. Bounds: at most a
+    Only values that can be outliers are walked, in portions of both ends. Bounds: at most a
     tenth of a group is removed, always from its ends, so the values between
     its 12th and 88th percentile stay; their sum of squares bounds every later
     deviation from below, and the means of everything below b and above a
@@ -132,14 +172,11 @@ def generalised_esd(long: DataFrame, keys: list[str], order: str, alpha: float =
     low = F.col("_room").isNull() | (v < F.col("_above") - F.col("_room"))
     candidates = joined.where(high | low).groupBy(*keys, value, "_n", "_sum", "_m2", high.alias("_high"), low.alias("_low")).agg(
         F.count("*").alias("c"), F.min(order).alias("f"))
-    entry = F.struct(F.col(value).alias("v"), "c", "f")
-    packed = candidates.groupBy(*keys, "_n", "_sum", "_m2").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_low"), entry))).alias("_l"),
-        F.reverse(F.array_sort(F.collect_list(F.when(F.col("_high"), entry)))).alias("_h"))
-    walked = packed.select(*keys, "_n", _esd_walk("_n", "_sum", "_m2", "_l", "_h").alias("_steps"))
-    found = walked.select(*keys, "_n", F.inline_outer("_steps")).where("step IS NOT NULL")
-    # Small by now, and used three times below.
-    found = checkpointed(found)
+    flags = F.array_compact(F.array(F.when(F.col("_low"), F.lit(0)), F.when(F.col("_high"), F.lit(1))))
+    ends = candidates.withColumn("end", F.explode(flags)).select(*keys, "_n", "_sum", "_m2", "end", F.col(value).alias("_v"), "c", "f")
+    # Ranks count from the outermost value of each end.
+    outer = ends.withColumn("_from", F.when(F.col("end") == 0, F.col("_v")).otherwise(-F.col("_v")))
+    found = _walked(checkpointed(numbered(outer, [*keys, "end"], ["_from"], "_i", limit)), keys)
     step = F.col("step").cast("double")
     found = found.withColumn("_t", t_isf(F.lit(alpha) / (2 * (n - step + 1)), n - step - 1))
     found = found.withColumn("esd_critical", esd_critical(n, step, F.col("_t"))).drop("_t", "_n")

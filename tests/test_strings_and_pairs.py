@@ -48,11 +48,13 @@ def esd_by_definition(x, alpha):
     return sorted(gone[:last])
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_esd_on_large_and_small_groups(spark, limit):
+@pytest.mark.parametrize("limit,portion", [(None, 1024), (0, 1024), (None, 3), (None, 1)])
+def test_esd_on_large_and_small_groups(spark, limit, portion, monkeypatch):
+    monkeypatch.setattr(V, "PORTION", portion)
     rng = np.random.default_rng(12)
     groups = {0: np.r_[rng.normal(0, 1, 900), 9, 9, -11, 8.5, 14], 1: rng.normal(0, 1, 40), 2: np.r_[rng.normal(5, 0.1, 11), 9.0],
-              3: np.ones(20), 4: np.r_[np.ones(200), 5.0], 5: np.r_[rng.normal(0, 1, 30), [50.0] * 3]}
+              3: np.ones(20), 4: np.r_[np.ones(200), 5.0], 5: np.r_[rng.normal(0, 1, 30), [50.0] * 3],
+              6: np.r_[rng.normal(0, 1, 90), rng.normal(300, 9, 5), rng.normal(-200, 9, 4)]}
     rows = [(k, i, float(v)) for k, x in groups.items() for i, v in enumerate(x)]
     got = V.generalised_esd(spark.createDataFrame(rows, "rec int, shot int, value double"), ["rec"], "shot", 0.05, limit=limit).toPandas()
     for k, x in groups.items():
