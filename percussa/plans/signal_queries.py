@@ -1,5 +1,7 @@
 """Queries on calibration, recording quality, time weighting, spectra and bands."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from percussa.functions import dsp
@@ -9,6 +11,7 @@ from percussa.operators import quality as Q
 from percussa.operators import shots as G
 from percussa.operators import spectra as P
 from percussa.plans import bindings as B
+from percussa.plans import filter_sql as X
 from percussa.plans.catalog import query, r, rounded
 from percussa.plans.detection_queries import clipped_stream
 from percussa.plans.shots_queries import ID, amp_sql, pow_sql
@@ -88,22 +91,33 @@ def _filtered(spark, sf, kernel):
     return rounded(out.select("recording_id", "chunk_id", F.size("samples").alias("n"), L.rms("samples").alias("rms")), 9)
 
 
-@query()
+def _filtered_sql(response, size, centred=False):
+    """Twin of `_filtered`: each chunk with two chunks of context on either side, circular convolution, root mean square."""
+    x = "(b.x - b.mean)" if centred else "b.x"
+    return f"""WITH {B.STREAM_SQL}, {X.kernel_cte("h", response, FS, size, 320)},
+c AS (SELECT recording_id, n, n // 64 AS id, x FROM stream),
+w AS (SELECT recording_id, n, x, id + o AS id FROM c, range(-2, 3) t(o)),
+b AS (SELECT *, avg(x) OVER (PARTITION BY recording_id, id) AS mean FROM w),
+y AS (SELECT a.recording_id, a.id, a.n, sum({x} * h) AS y FROM c a JOIN b ON a.recording_id = b.recording_id AND a.id = b.id JOIN h ON h.d = a.n - b.n GROUP BY 1, 2, 3)
+SELECT recording_id, id AS chunk_id, count(*)::INT AS n, {r("sqrt(avg(y * y))", "rms", 9)} FROM y GROUP BY 1, 2"""
+
+
+@query(_filtered_sql(X.both_ways_high_pass_sql(FS, 10.0), X.high_pass_size(320, FS), centred=True))
 def high_pass(spark, sf):
     return _filtered(spark, sf, C.high_pass)
 
 
-@query()
+@query(_filtered_sql(X.both_ways_band_sql(FS, 50.0, 0.95 * FS / 2), X.padded(320 + 2 * int(8 / (2 * math.pi * 50) * FS) + 1)))
 def detection_band(spark, sf):
     return _filtered(spark, sf, C.band_limit)
 
 
-@query()
+@query(_filtered_sql(X.weighting_sql("A", FS), X.weighting_size(320, FS)))
 def a_weighted(spark, sf):
     return _filtered(spark, sf, C.weight_a)
 
 
-@query()
+@query(_filtered_sql(X.weighting_sql("C", FS), X.weighting_size(320, FS)))
 def c_weighted(spark, sf):
     return _filtered(spark, sf, C.weight_c)
 
@@ -300,7 +314,19 @@ def band_dimension(spark, sf):
     return rounded(P.band_dimension(rates(spark, sf)))
 
 
-@query()
+def _band_exposure_sql():
+    """A quadratic form of the window for each band: the impulse response against itself, summed over the window."""
+    bands = dsp.band_table(FS)
+    kernels = ",\n".join(X.kernel_cte(f"h{i}", X.band_sql(FS, low, high, 4), FS, X.padded(64 + int(8 * FS / (math.pi * (high - low))) + 1), 64)
+                         for i, (_, low, high) in enumerate(bands))
+    every = " UNION ALL ".join(f"SELECT {nominal!r}::DOUBLE AS band_Hz, d, h FROM h{i}" for i, (nominal, _, _) in enumerate(bands))
+    return f"""WITH {B.SAMPLES_SQL}, {kernels}, h AS ({every}),
+g AS (SELECT p.band_Hz, i, j, sum(p.h * q.h) AS g FROM range(64) a(i), range(64) b(j), range(64) c(m), h p, h q WHERE p.d = m - i AND q.d = m - j AND p.band_Hz = q.band_Hz GROUP BY 1, 2, 3),
+xx AS (SELECT a.recording_id, a.shot_number, a.n AS i, b.n AS j, a.x * b.x AS xx FROM samples a JOIN samples b USING (recording_id, shot_number))
+SELECT recording_id, shot_number, band_Hz AS "band_Hz", {r(pow_sql("sum(xx * g) / 8000"), "exposure_dB")} FROM xx JOIN g USING (i, j) GROUP BY 1, 2, 3"""
+
+
+@query(_band_exposure_sql())
 def band_exposure(spark, sf):
     w = B.windows(spark, sf)
     return rounded(w.select(*ID, F.inline(G.band_exposure_of("samples", "fs"))))

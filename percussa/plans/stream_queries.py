@@ -8,6 +8,7 @@ from percussa.functions import levels as L
 from percussa.operators.ordered import numbered
 from percussa.plans import analysis as A
 from percussa.plans import bindings as B
+from percussa.plans import filter_sql as X
 from percussa.plans.catalog import query, r, rounded
 from percussa.plans.detection_queries import DETECT_SQL
 from percussa.plans.shots_queries import pow_sql
@@ -53,7 +54,9 @@ def streaming_ceiling(spark, sf):
     return last.select("recording_id", F.col("n_samples").cast("int").alias("n_samples"), "ceiling_runs", "longest_run")
 
 
-@query()
+@query(f"""WITH {X.kernel_cte("h", X.weighting_sql("A", 8000), 8000, 2048, 64)}, s AS (SELECT vec_id AS recording_id, unnest(range(64)) AS n, unnest(embedding)::DOUBLE AS x FROM embeddings),
+y AS (SELECT a.recording_id, a.n, sum(b.x * h) AS y FROM s a JOIN s b ON a.recording_id = b.recording_id AND b.n // 32 <= a.n // 32 JOIN h ON h.d = a.n - b.n GROUP BY 1, 2)
+SELECT recording_id, (n // 32)::BIGINT AS chunk_id, count(*)::INT AS n, {r("max(abs(y))", "peak", 9)} FROM y GROUP BY 1, 2""")
 def stateful_weighting(spark, sf):
     O.use_rocksdb(spark)
     out = O.run_available(O.stateful_weighting(chunk_stream(spark, sf)), place(spark))
