@@ -5,12 +5,9 @@ from a corpus are at distance 1 from nearly every document, though, and bound no
 documents meet, and cut by pivots from then on:
 
 1. Documents with equal sets are one node from here on.
-2. Meeting places. The hash space of n-grams is halved again and again; a node notes every part in which it has at most b
-   n-grams while the part's parent holds b or more (b = 9 at 90 percent: the largest union in which two sets that alike are
-   equal). Of the union of two nodes as alike as asked, at least SLACK = 1 - b (1 - t) of the n-grams lie in noted parts in
-   which both are equal: a part in which they differ holds at most b n-grams for each difference, and so does a parent
-   below b. A node may therefore leave out the commonest of its parts, while they hold less than SLACK / 2 of its n-grams,
-   and still meets every partner. What many documents hold (a passage, a line) is left out this way.
+2. Meeting places. Two sets as alike as asked share one of the first n - ceil(t n) + 1 n-grams of either in any one order of
+   all n-grams. The order puts the corpus's commonest n-grams last (COMMON of them, found by counters of each task over all
+   texts), so what many documents hold, a passage or a line, is no meeting place unless it is nearly the whole document.
 3. Each meeting place elects its least node as pivot; a region holds the pivot and all nodes of its meeting places.
 4. A region of more than LEAF nodes is cut: K pivots of its own create Voronoi cells; a node lives in the cell of its
    nearest pivot and is replicated into every cell whose pivot is at most 2e further (e the distance asked for), since a
@@ -31,62 +28,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from percussa.llm.common import mix64, packed, slices, stored
 from percussa.llm.minhash_join import _digest, components, shingle_sets, sets_of
 
-LEAF = 256
+LEAF = 512
 PIVOTS = 8
 SALTS = 16
 SHRINK = 0.7
 SLICE = 4 << 20
+# Counters of a task, and n-grams that the common order puts last.
+COUNTERS = 1 << 16
+COMMON = 1 << 18
 
 
-def bounds(percent: int) -> tuple[int, float]:
-    """b, the largest union of n-grams in which sets that alike must be equal, and the share of n-grams a node may leave out."""
-    b = -(-100 // (100 - percent)) - 1
-    return b, (1 - b * (100 - percent) / 100) / 2
+def common_ngrams(docs: DataFrame, width: int, most: int = COUNTERS, top: int = COMMON) -> np.ndarray:
+    """The commonest n-grams, commonest last; at most `top` numbers, whatever the size of the corpus.
 
-
-def meeting_places(sets: list[np.ndarray], b: int) -> list[np.ndarray]:
-    """Signed names of the noted parts of each sorted set; the low 4 bits tell how many n-grams a part holds (16 at most).
-
-    All sets of the list are halved together, one bit of the hash a step.
+    Each task keeps `most` counters; when there are more, the least counts are taken off all. A count is thus too low by at
+    most the task's n-grams over `most`, which can change the order but no result.
     """
-    sizes = np.array([len(x) for x in sets])
-    value = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    hashed = mix64(value ^ np.uint64(0x5851F42D4C957F2D))
-    owners, names = [], []
-    above = np.full(len(value), b, np.int64)
-    for depth in range(65):
-        if not len(value):
-            break
-        part = value >> np.uint64(64 - depth) if depth else np.zeros(len(value), np.uint64)
-        head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])]))
-        n = np.diff(np.concatenate([head, [len(value)]]))
-        noted = (n <= b) & (above[head] >= b)
-        held = np.add.reduceat(hashed, head)[noted]
-        name = mix64(held + mix64((part[head][noted] << np.uint64(7)) + np.uint64(depth + 1)))
-        owners.append(owner[head][noted])
-        names.append((name & ~np.uint64(15)) | np.minimum(n[noted], 15).astype(np.uint64))
-        n = np.repeat(n, n)
-        go = n >= b
-        value, owner, hashed, above = value[go], owner[go], hashed[go], n[go]
-    owners, names = np.concatenate(owners) if owners else np.zeros(0, np.int64), np.concatenate(names) if names else np.zeros(0, np.uint64)
-    order = np.argsort(owners, kind="stable")
-    cuts = np.searchsorted(owners[order], np.arange(1, len(sets)))
-    return np.split(names[order].view(np.int64), cuts)
-
-
-def noted(docs: DataFrame, width: int, b: int) -> DataFrame:
+    def run(batches):
+        values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            data, offsets = packed(batch.column("text"))
+            for x, y in slices(offsets, SLICE):
+                found = list(shingle_sets(data[offsets[x]:offsets[y]], offsets[x:y + 1] - offsets[x], width))
+                whole, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+                whole, n = whole[n > 1], n[n > 1]
+                both, at = np.unique(np.concatenate([values, whole]), return_inverse=True)
+                sums = np.zeros(len(both), np.int64)
+                np.add.at(sums, at, np.concatenate([counts, n]))
+                if len(both) > most:
+                    sums -= np.partition(sums, len(sums) - most - 1)[len(sums) - most - 1]
+                values, counts = both[sums > 0], sums[sums > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["value", "n"])
+
+    held = docs.select("text").mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    rows = held.orderBy(F.desc("n"), "value").limit(top).select("value").collect()
+    return np.array([r[0] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def meeting_places(found: np.ndarray, percent: int, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n-grams of a set in the common order: those not in `common` (sorted, with ranks) by hash, then those by rank."""
+    n = len(found)
+    size = n + (-percent * n) // 100 + 1
+    order = mix64(found) >> np.uint64(1)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        order = np.where(common[at] == found, (np.uint64(1) << np.uint64(63)) + rank[at], order)
+    return found[np.argpartition(order, size - 1)[:size]] if size < n else found
+
+
+def noted(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, node (names the set; NULL for none) and the node's meeting places, once for each batch.
 
     Rows without doc_id note none.
     """
     nothing = np.zeros(0, np.uint64)
+    rank = np.argsort(common, kind="stable")
+    common = common[rank]
+    rank = rank.astype(np.uint64)
 
     def run(batches):
         for batch in batches:
@@ -96,16 +100,16 @@ def noted(docs: DataFrame, width: int, b: int) -> DataFrame:
             for x, y in slices(offsets, SLICE):
                 sets = list(shingle_sets(data[offsets[x]:offsets[y]], offsets[x:y + 1] - offsets[x], width))
                 nodes = [_digest(s) if len(s) else None for s in sets]
-                fresh = []
-                for k, node in enumerate(nodes):
-                    fresh.append(node is not None and named[x + k] and node not in seen)
-                    if fresh[-1]:
+                places = []
+                for k, (s, node) in enumerate(zip(sets, nodes)):
+                    fresh = node is not None and named[x + k] and node not in seen
+                    places.append(meeting_places(s, percent, common, rank) if fresh else nothing)
+                    if fresh:
                         seen.add(node)
-                places = meeting_places([s if f else nothing for s, f in zip(sets, fresh)], b)
                 ends = np.cumsum([0] + [len(p) for p in places]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(x, y - x), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places)))],
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*places, nothing]).view(np.int64)))],
                     names=["doc_id", "n_shingles", "node", "places"])
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node binary, places array<long>")
 
@@ -223,21 +227,18 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id of all documents that links reach."""
-    b, spare = bounds(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = stored(noted(docs, width, b), "noted")
+    every = stored(noted(docs, width, percent, common_ngrams(docs, width)), "noted")
     known = every.where("node IS NOT NULL AND doc_id IS NOT NULL").select("node", "doc_id", "n_shingles")
-    nodes = stored(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size")), "nodes")
+    nodes = stored(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     # Numbers stand for nodes until the places that one node alone has are gone; those are counted, not kept.
     posted = every.select(F.xxhash64("node").alias("key"), F.explode("places").alias("place"))
     often = posted.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select("place")
     shared = stored(posted.join(often, "place").distinct(), "shared")
-    met = shared.groupBy("place").agg(F.count("*").alias("n"), F.min("key").alias("region")).where("n > 1")
-    told = shared.join(met, "place").join(nodes.select(F.xxhash64("node").alias("key"), "node", "size"), "key")
-    ahead = Window.partitionBy("node").orderBy(F.desc("n"), "place")
-    kept = told.withColumn("left_out", F.sum(F.col("place").bitwiseAND(F.lit(15))).over(ahead)).where(
-        F.col("left_out") >= F.lit(spare) * F.col("size"))
-    members = stored(kept.select("region", "node").distinct(), "regions")
+    met = shared.groupBy("place").agg(F.count("*").alias("n"), F.min("key").alias("region")).where("n > 1").select("place", "region")
+    # A node is where its meeting places are; one row for each of its regions.
+    held = shared.join(met, "place").select("region", "key").distinct()
+    members = stored(held.join(nodes.select(F.xxhash64("node").alias("key"), "node"), "key").select("region", "node").distinct(), "regions")
     busy = members.select("node").distinct()
     where = busy.join(nodes, "node")
     sets = stored(sets_of(docs.join(where, "doc_id").select("node", "text"), width).dropDuplicates(["node"]), "sets")
