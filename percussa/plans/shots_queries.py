@@ -7,7 +7,8 @@ from percussa.operators import pairing as P
 from percussa.operators import shots as G
 from percussa.operators import strings as S
 from percussa.plans import bindings as B
-from percussa.plans.catalog import em, query, r, rounded
+from percussa.plans import filter_sql as X
+from percussa.plans.catalog import em, query, r, rounded, rs
 
 ID = ["recording_id", "shot_number"]
 PREF2 = "(20e-6::DOUBLE * 20e-6::DOUBLE)"
@@ -107,48 +108,58 @@ def window_noise(spark, sf):
     return rounded(out.select(*ID, "noise_floor_dB", "snr_dB"))
 
 
-@query(f"""WITH {ENV_SQL}, loc AS (SELECT recording_id, shot_number, n, x, greatest(0, onset - 8) AS base FROM env
+RISE_SQL = """, near AS (SELECT recording_id, shot_number, n, x, greatest(0, onset - 8) AS base FROM env
   JOIN blast USING (recording_id, shot_number) WHERE n >= greatest(0, onset - 8) AND n < least(env.n_samples, onset + 40)),
 front AS (SELECT recording_id, shot_number, CASE WHEN max(x) > 1e-30 THEN 1 ELSE -1 END AS sg,
   CASE WHEN max(x) > 1e-30 THEN min_by(n, (-x, n)) ELSE min_by(n, (x, n)) END AS peak_at,
-  CASE WHEN max(x) > 1e-30 THEN max(x) ELSE -min(x) END AS pk FROM loc GROUP BY 1, 2),
+  CASE WHEN max(x) > 1e-30 THEN max(x) ELSE -min(x) END AS pk FROM near GROUP BY 1, 2),
 seen AS (SELECT e.recording_id, e.shot_number, e.n, e.x * sg AS v, lag(e.x * sg) OVER (PARTITION BY e.shot_number ORDER BY e.n) AS before, peak_at
   FROM env e JOIN front USING (recording_id, shot_number)),
 c90 AS (SELECT s.recording_id, s.shot_number, arg_max(n - 1 + (0.9::DOUBLE * pk - before) / (v - before), n) AS x90 FROM seen s
   JOIN front f USING (recording_id, shot_number) WHERE n >= 1 AND n <= s.peak_at AND v >= 0.9::DOUBLE * pk AND before < 0.9::DOUBLE * pk GROUP BY 1, 2),
 c10 AS (SELECT s.recording_id, s.shot_number, arg_max(n - 1 + (0.1::DOUBLE * pk - before) / (v - before), n) AS x10 FROM seen s
-  JOIN front f USING (recording_id, shot_number) WHERE n >= 1 AND n <= s.peak_at AND v >= 0.1::DOUBLE * pk AND before < 0.1::DOUBLE * pk GROUP BY 1, 2)
-SELECT f.recording_id, f.shot_number, {r("CASE WHEN x90 > x10 THEN (x90 - x10) / 8000 * 1e6 ELSE 0 END", "rise_time_us")},
- coalesce(x90 > x10 AND x90 - x10 >= 2, false) AS rise_time_resolved
-FROM front f LEFT JOIN c90 USING (recording_id, shot_number) LEFT JOIN c10 USING (recording_id, shot_number)""")
+  JOIN front f USING (recording_id, shot_number) WHERE n >= 1 AND n <= s.peak_at AND v >= 0.1::DOUBLE * pk AND before < 0.1::DOUBLE * pk GROUP BY 1, 2),
+rise AS (SELECT f.recording_id, f.shot_number, CASE WHEN x90 > x10 THEN (x90 - x10) / 8000 * 1e6 ELSE 0 END AS rise_time_us,
+  coalesce(x90 > x10 AND x90 - x10 >= 2, false) AS rise_time_resolved
+  FROM front f LEFT JOIN c90 USING (recording_id, shot_number) LEFT JOIN c10 USING (recording_id, shot_number))"""
+
+
+@query(f"""WITH {ENV_SQL}{RISE_SQL} SELECT recording_id, shot_number, {r("rise_time_us", "rise_time_us")}, rise_time_resolved FROM rise""")
 def rise_time(spark, sf):
     out = G.with_rise_time(enveloped(spark, sf))
     return rounded(out.select(*ID, "rise_time_us", "rise_time_resolved"))
 
 
-@query(f"""WITH {ENV_SQL}, loc AS (SELECT recording_id, shot_number, max(x) AS hi, min(x) AS lo FROM env
+PHASE_SQL = """, loc AS (SELECT recording_id, shot_number, max(x) AS hi, min(x) AS lo FROM env
   JOIN blast USING (recording_id, shot_number) WHERE n >= onset AND n < least(env.n_samples, onset + 40) GROUP BY 1, 2),
 sg AS (SELECT *, CASE WHEN abs(hi) >= abs(lo) THEN 1 ELSE -1 END AS s FROM loc),
 v AS (SELECT e.recording_id, e.shot_number, e.n, e.x * s AS v, s, b.onset, e.n_samples FROM env e JOIN sg USING (recording_id, shot_number)
   JOIN blast b USING (recording_id, shot_number)),
 pk AS (SELECT recording_id, shot_number, min_by(n, (-v, n)) FILTER (WHERE n >= onset AND n < least(n_samples, onset + 40)) AS top FROM v GROUP BY 1, 2),
 ed AS (SELECT v.recording_id, v.shot_number, coalesce(max(n) FILTER (WHERE n < top AND v <= 0) + 1, 0) AS a,
-  coalesce(min(n) FILTER (WHERE n >= top AND n < n_samples - 1 AND v <= 0), any_value(n_samples) - 1) AS z FROM v JOIN pk USING (recording_id, shot_number) GROUP BY 1, 2)
-SELECT v.recording_id, v.shot_number, {r("(any_value(z) - any_value(a)) / 8000::DOUBLE * 1000", "a_duration_ms")},
- {r("sum(greatest(v, 0)) / 8000", "specific_impulse_Pa_s", 9)}, {r("any_value(s) * max(v)", "peak_overpressure_Pa", 9)}
-FROM v JOIN ed USING (recording_id, shot_number) WHERE n >= a AND n < z GROUP BY 1, 2""")
+  coalesce(min(n) FILTER (WHERE n >= top AND n < n_samples - 1 AND v <= 0), any_value(n_samples) - 1) AS z FROM v JOIN pk USING (recording_id, shot_number) GROUP BY 1, 2),
+phase AS (SELECT v.recording_id, v.shot_number, (any_value(z) - any_value(a)) / 8000::DOUBLE * 1000 AS a_duration_ms,
+  sum(greatest(v, 0)) / 8000 AS specific_impulse_Pa_s, any_value(s) * max(v) AS peak_overpressure_Pa
+  FROM v JOIN ed USING (recording_id, shot_number) WHERE n >= a AND n < z GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {ENV_SQL}{PHASE_SQL} SELECT recording_id, shot_number, {r("a_duration_ms", "a_duration_ms")}, {r("specific_impulse_Pa_s", "specific_impulse_Pa_s", 9)},
+ {r("peak_overpressure_Pa", "peak_overpressure_Pa", 9)} FROM phase""")
 def a_duration(spark, sf):
     out = G.with_a_duration(enveloped(spark, sf))
     return rounded(out.select(*ID, "a_duration_ms", "specific_impulse_Pa_s", "peak_overpressure_Pa"),
                    specific_impulse_Pa_s=9, peak_overpressure_Pa=9)
 
 
-@query(f"""WITH {ENV_SQL}, cut AS (SELECT recording_id, shot_number, n - start AS i, stop - start AS len,
+CENTROID_SQL = f""", cut AS (SELECT recording_id, shot_number, n - start AS i, stop - start AS len,
   x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (n - start) / (stop - start - 1))) AS y FROM {IN_BLAST}),
 bins AS (SELECT recording_id, shot_number, k, k * 8000::DOUBLE / any_value(len) AS f,
   sum(y * cos(2 * pi() * k * i / len)) ** 2 + sum(y * sin(2 * pi() * k * i / len)) ** 2 AS p
-  FROM cut, range(33) t(k) WHERE k <= len // 2 GROUP BY 1, 2, 3)
-SELECT recording_id, shot_number, {r("sum(f * p) / sum(p)", "spectral_centroid_Hz", 4)} FROM bins WHERE f >= 20 GROUP BY 1, 2""")
+  FROM cut, range(33) t(k) WHERE k <= len // 2 GROUP BY 1, 2, 3),
+centroid AS (SELECT recording_id, shot_number, sum(f * p) / sum(p) AS spectral_centroid_Hz FROM bins WHERE f >= 20 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {ENV_SQL}{CENTROID_SQL} SELECT recording_id, shot_number, {r("spectral_centroid_Hz", "spectral_centroid_Hz", 4)} FROM centroid""")
 def spectral_centroid(spark, sf):
     w = B.windows(spark, sf).withColumn("t", G.transforms_of("samples", "fs"))
     return rounded(w.select(*ID, "t.spectral_centroid_Hz"), 4)
@@ -157,7 +168,42 @@ def spectral_centroid(spark, sf):
 METRICS = [*S.LEVEL_METRICS, *S.PLAIN_METRICS]
 
 
-@query()
+def _average_sql(x, tau):
+    """Exponential average of squares at a.n, over pairs a.n >= b.n of one window."""
+    return f"(1 - exp(-1 / (8000 * {tau}::DOUBLE))) * sum(b.{x} * b.{x} * exp(-(a.n - b.n) / (8000 * {tau}::DOUBLE)))"
+
+
+# The window high-passed over silence, then everything the other queries measure, on that.
+CONDITIONED_SQL = B.SAMPLES_SQL.replace(", samples AS (", ", raw AS (") + f""", {X.kernel_cte("hp", X.both_ways_high_pass_sql(8000, 10.0), 8000, X.high_pass_size(64, 8000), 64)},
+centred AS (SELECT *, x - avg(x) OVER (PARTITION BY shot_number) AS u FROM raw),
+samples AS (SELECT a.recording_id, a.shot_number, a.n, any_value(a.n_samples) AS n_samples, sum(b.u * h) AS x
+  FROM raw a JOIN centred b USING (recording_id, shot_number) JOIN hp ON d = a.n - b.n GROUP BY 1, 2, 3)"""
+METRICS_SQL = CONDITIONED_SQL + f"""{SPAN_SQL[len(B.SAMPLES_SQL):]}{ENV_SQL[len(B.SAMPLES_SQL):]}{RISE_SQL}{PHASE_SQL}{CENTROID_SQL},
+{X.kernel_cte("ka", X.weighting_sql("A", 8000), 8000, X.weighting_size(64, 8000), 64)},
+{X.kernel_cte("kc", X.weighting_sql("C", 8000), 8000, X.weighting_size(64, 8000), 64)},
+wt AS (SELECT a.recording_id, a.shot_number, a.n, any_value(a.x) AS z, sum(b.x * ka.h) AS a, sum(b.x * kc.h) AS c
+  FROM samples a JOIN samples b USING (recording_id, shot_number) JOIN ka ON ka.d = a.n - b.n JOIN kc ON kc.d = a.n - b.n GROUP BY 1, 2, 3),
+lv AS (SELECT recording_id, shot_number, {amp_sql("max(abs(z))")} AS Lpeak_Z, {pow_sql("max(a * a)")} AS Lpeak_A, {pow_sql("max(c * c)")} AS Lpeak_C,
+  {pow_sql("sum(z * z) FILTER (WHERE n >= start AND n < stop) / 8000")} AS LZE, {pow_sql("sum(a * a) FILTER (WHERE n >= start AND n < stop) / 8000")} AS LAE,
+  {pow_sql("sum(c * c) FILTER (WHERE n >= start AND n < stop) / 8000")} AS LCE, (any_value(stop) - any_value(start)) / 8000::DOUBLE AS integration_window_s
+  FROM wt JOIN span USING (recording_id, shot_number) GROUP BY 1, 2),
+av AS (SELECT a.recording_id, a.shot_number, a.n, {_average_sql("a", 0.125)} AS af, {_average_sql("a", 1.0)} AS asl, {_average_sql("a", 0.035)} AS ai,
+  {_average_sql("z", 0.125)} AS zf, {_average_sql("z", 1.0)} AS zs, {_average_sql("z", 0.035)} AS zi
+  FROM wt a JOIN wt b USING (recording_id, shot_number) WHERE b.n <= a.n GROUP BY 1, 2, 3),
+tw AS (SELECT recording_id, shot_number, {", ".join(pow_sql(f"max({c}) FILTER (WHERE n % 8 = 0)") + f" AS {n}" for c, n in (
+    ("af", "LAFmax"), ("asl", "LASmax"), ("zf", "LZFmax"), ("zs", "LZSmax")))}, {pow_sql("max(ai)")} AS LAImax, {pow_sql("max(zi)")} AS LZImax FROM av GROUP BY 1, 2),
+inb AS (SELECT recording_id, shot_number, 20 * log10(max(abs(x)) / sqrt(avg(x * x))) AS crest_factor_dB, kurtosis_pop(x) AS kurtosis,
+  (any_value(stop) - any_value(start)) / 8000::DOUBLE AS blast_duration_s, any_value(above) / 8000::DOUBLE * 1000 AS b_duration_ms FROM {IN_BLAST} GROUP BY 1, 2),
+qt AS (SELECT recording_id, shot_number, avg(x * x) FILTER (WHERE n < start OR n >= stop) AS ms,
+  count(*) FILTER (WHERE n < start OR n >= stop) AS k, max(abs(x)) AS peak FROM env JOIN blast b USING (recording_id, shot_number) GROUP BY 1, 2),
+metrics AS (SELECT *, CASE WHEN k >= 8 THEN {pow_sql("ms")} END AS noise_floor_dB, CASE WHEN k >= 8 THEN {amp_sql("peak")} - {pow_sql("ms")} END AS snr_dB,
+  64 / 8000::DOUBLE AS duration_s, list_filter([CASE WHEN NOT rise_time_resolved AND rise_time_us > 0 THEN 'rise time is an upper bound' END,
+    'weighting filters started without context'], lambda t: t IS NOT NULL) AS notes
+  FROM lv {" ".join(f"JOIN {t} USING (recording_id, shot_number)" for t in ("tw", "inb", "qt", "rise", "phase", "centroid"))})"""
+
+
+@query(f"""WITH {METRICS_SQL} SELECT recording_id, shot_number, {rs(*METRICS, "LZFmax", "LZSmax", "noise_floor_dB", "snr_dB", "duration_s", "blast_duration_s", "integration_window_s")},
+ rise_time_resolved, true AS valid, notes FROM metrics""")
 def shot_metrics(spark, sf):
     out = G.shot_metrics(B.windows(spark, sf))
     return rounded(out.select(*ID, *METRICS, "LZFmax", "LZSmax", "noise_floor_dB", "snr_dB", "rise_time_resolved",
