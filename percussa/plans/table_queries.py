@@ -11,7 +11,7 @@ from percussa.plans import analysis as A
 from percussa.plans import bindings as B
 from percussa.plans.catalog import query, r, rounded
 from percussa.plans.detection_queries import DETECT_SQL, FS, HALF, HOP, POST, PRE, REFRACTORY, SNR, WINDOW, detected
-from percussa.plans.shots_queries import ID, amp_sql
+from percussa.plans.shots_queries import ID, METRICS_SQL, amp_sql
 from percussa.plans.signal_queries import STFT_SQL, frames
 from percussa.plans.strings_queries import KEY, _stats_sql, _unpivot_sql
 from percussa.sources import recordings as R
@@ -118,7 +118,19 @@ def number_texts(spark, sf):
                     W.number_text(F.col("value") / 7000000).alias("c_text"))
 
 
-@query()
+def _text_sql(value, name):
+    return f"CASE WHEN {value} IS NULL THEN '' WHEN {value} <> 0 AND abs({value}) < 1 THEN format('{{:.6g}}', {value}) ELSE format('{{:.2f}}', {value}) END AS \"{name}\""
+
+
+def _shot_table_sql():
+    truth = {"valid": "'true'", "clipped": "'false'", "window_truncated": "'false'", "rise_time_resolved": "rise_time_resolved::VARCHAR",
+             "time": "format('{:.5f}', shot_number * 64 / 8000::DOUBLE)", "notes": "array_to_string(notes, '; ')", "shot_number": "shot_number::VARCHAR"}
+    made = {"duration_ms": "(duration_s * 1000)", "integration_ms": "(integration_window_s * 1000)"}
+    columns = [f'{truth[name]} AS "{name}"' if name in truth else _text_sql(made.get(source, source), name) for name, source in W.SHOT_COLUMNS.items()]
+    return f"WITH {METRICS_SQL} SELECT recording_id, {', '.join(columns)} FROM metrics"
+
+
+@query(_shot_table_sql())
 def shot_table(spark, sf):
     metrics = G.shot_metrics(B.windows(spark, sf))
     return W.shot_table(metrics.withColumn("time_s", F.col("shot_number") * 64 / F.col("fs")), ["recording_id"])

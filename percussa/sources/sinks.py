@@ -21,11 +21,27 @@ SHOT_COLUMNS = {
     "snr": "snr_dB", "notes": "notes"}
 
 
+def _off_the_tie(v: Column) -> Column:
+    """`v`, moved off a tie of two decimals to the side its binary value lies on; an exact tie goes to the even digit.
+
+    The formatter rounds the shortest decimal text of a number half up, so 7.625 (exact) and 2.675 (a little less in
+    binary) would both go up. What is left of 1000 v beyond its nearest whole number tells which side is meant.
+    """
+    a = F.abs(v)
+    whole = F.rint(a * 1000.0)
+    upper = a * 134217729.0 - (a * 134217729.0 - a)
+    lost = (upper * 1000.0 - whole) + (a - upper) * 1000.0
+    even = F.floor(whole / 10) % 2 == 0
+    down = (lost < 0) | ((lost == 0) & even)
+    tie = (a < 1e9) & (F.abs(lost) <= a * 1e-12) & (whole % 10 == 5)
+    return F.when(tie, F.signum(v) * (a + F.when(down, -0.001).otherwise(0.001))).otherwise(v)
+
+
 def number_text(value) -> Column:
     """Two decimals; six significant digits below 1; empty where not finite."""
     v = L.finite(value)
     a = F.abs(v)
-    text = F.format_string("%.2f", v)
+    text = F.format_string("%.2f", _off_the_tie(v))
     small = F.format_string("%.5e", v)
     # 1e-4 and above is written plainly, with the decimals its size needs.
     for power in (-4, -3, -2, -1):

@@ -34,3 +34,9 @@ def test_losses_curves_records_and_spectrograms(spark, tmp_path):
     W.write_spectrogram(frames, {"nperseg": 64, "window": "hann"}, f"{tmp_path}/stft")
     read = spark.read.parquet(f"{tmp_path}/stft")
     assert read.count() == 7 * 33 and read.first().window == "hann"
+
+
+def test_number_text_rounds_as_binary_values_lie(spark):
+    values = [7.625, 7.635, 2.675, 1.005, 1.125, 1.375, -7.625, -2.675, 1000000.125, 12.345, 99.995, 0.5, 0.0, 3.0, 123456.785]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(W.number_text(F.col("v"))).collect()
+    assert [r[0] for r in got] == [f"{v:.6g}" if v and abs(v) < 1 else f"{v:.2f}" for v in values]
