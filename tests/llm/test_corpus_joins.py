@@ -7,13 +7,11 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from percussa.llm import divergence, ngram_join, resampling
-from percussa.llm.common import packed
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = "".join(f", {c} string" for c in ("node", "place", "key", "region", "size", "row", "rank", "total", "number", "block", "term"))
@@ -82,30 +80,33 @@ def brute_join(rows, n, percent):
 
 @settings(max_examples=80, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 10**6), st.sampled_from([75, 80, 85, 90, 95]))
-def test_partners_meet_whatever_is_common(n, seed, percent):
+def test_partners_meet_after_their_commonest_places_are_left_out(n, seed, percent):
     r = np.random.default_rng(seed)
-    one = np.unique(r.integers(0, 1 << 62, n, dtype=np.int64).astype(np.uint64))
-    # As many changes as the limit allows, and an order that may put any n-grams last.
-    other, k, order = one.copy(), 0, r.permutation(len(one))
-    while k < len(one):
+    b, spare = ngram_join.bounds(percent)
+    one = r.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+    # As many changes as the limit allows, some of them in one stretch of the hash space.
+    other, k = one.copy(), 0
+    order = np.argsort(one) if seed % 2 else r.permutation(n)
+    while k < n:
         tried = other.copy()
         tried[order[k]] = np.uint64(r.integers(0, 1 << 62))
         if 100 * len(np.intersect1d(one, tried)) < percent * len(np.union1d(one, tried)):
             break
         other, k = tried, k + 1
-    common = np.unique(r.choice(np.concatenate([one, other]), r.integers(0, len(one) + 1)))
-    rank = r.permutation(len(common)).astype(np.uint64)
-    places = [set(ngram_join.meeting_places(np.unique(x), percent, common, rank).tolist()) for x in (one, other)]
-    assert places[0] & places[1]
-    assert all(len(p) <= len(one) * (100 - percent) / 100 + 1 for p in places)
-
-
-def test_common_ngrams_come_last(spark):
-    texts = [prose(k, 30) + " same line in all of them " + prose(100 + k, 20) for k in range(30)]
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
-    common = ngram_join.common_ngrams(docs, 3, most=8, top=4)
-    every = collections.Counter(g for t in texts for g in next(ngram_join.shingle_sets(*packed(pa.array([t])), 3)).tolist())
-    assert len(common) == 4 and all(every[g] == 30 for g in common.tolist())
+    places = ngram_join.meeting_places([np.unique(one), np.unique(other)], b)
+    both = set(places[0].tolist()) & set(places[1].tolist())
+    held = sum(p & ngram_join.HOLDS for p in both)
+    assert held >= 2 * spare * n * (1 - 1e-9)
+    # The worst choice: each side leaves out shared places as long as it may.
+    kept = []
+    for own in places:
+        out, kept_here = 0, set(own.tolist())
+        for p in sorted(both, key=lambda p: (p & ngram_join.HOLDS, p)):
+            out += p & ngram_join.HOLDS
+            if out < spare * n:
+                kept_here.discard(p)
+        kept.append(kept_here)
+    assert kept[0] & kept[1]
 
 
 @pytest.mark.parametrize("leaf", [256, 4])
@@ -117,8 +118,8 @@ def test_ngram_join(docs, monkeypatch, leaf):
 
 
 def test_ngram_join_cuts_regions(spark, monkeypatch):
-    """Many copies of several texts, far enough apart that most pairs don't link: cells, windows and blocks."""
-    monkeypatch.setattr(ngram_join, "LEAF", 8)
+    """Many copies of several texts, far enough apart that most pairs don't link: cells, windows, rare n-grams and blocks."""
+    monkeypatch.setattr(ngram_join, "LEAF", 3)
     rows = []
     for k in range(160):
         r = np.random.default_rng(k)
