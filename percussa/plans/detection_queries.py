@@ -298,7 +298,25 @@ def shot_decay(spark, sf):
     return rounded(D.measure_decay(env, accepted(env, thr), thr, KEY, HOP, FS))
 
 
-@query()
+REFLECTION_SQL = ACCEPT_SQL + """, ev AS (SELECT recording_id, idx, height AS level, row_number() OVER (PARTITION BY recording_id ORDER BY idx) AS place FROM acc),
+pr AS (SELECT a.recording_id, a.place AS source, b.place AS follower, a.level AS source_level, b.level AS level, b.idx - a.idx AS delay, (b.idx - a.idx) * 0.125::DOUBLE AS ms
+  FROM ev a JOIN ev b USING (recording_id) WHERE b.place > a.place AND (b.idx - a.idx) * 0.125::DOUBLE >= 20 AND b.level <= a.level * power(10.0::DOUBLE, -3 / 20::DOUBLE)),
+cs AS (SELECT p.recording_id, p.delay, p.ms, count(*) AS size FROM (SELECT DISTINCT recording_id, delay, ms FROM pr) p JOIN pr q ON q.recording_id = p.recording_id
+  AND q.ms >= p.ms - greatest(5::DOUBLE, 0.1::DOUBLE * p.ms) AND q.ms <= p.ms + greatest(5::DOUBLE, 0.1::DOUBLE * p.ms) GROUP BY 1, 2, 3),
+ce AS (SELECT recording_id, arg_max(ms, (size, -delay)) AS centre FROM cs GROUP BY 1),
+mb AS (SELECT pr.*, row_number() OVER (PARTITION BY recording_id ORDER BY source_level DESC, delay, source, follower) AS rk FROM pr JOIN ce USING (recording_id)
+  WHERE abs(ms - centre) <= greatest(5::DOUBLE, 0.1::DOUBLE * centre)),
+mt AS (SELECT DISTINCT recording_id, 0::BIGINT AS rk, []::BIGINT[] AS used, []::BIGINT[] AS taken FROM mb
+  UNION ALL SELECT q.recording_id, q.rk, CASE WHEN list_has_any(used, [source, follower]) THEN used ELSE list_concat(used, [source, follower]) END,
+  CASE WHEN list_has_any(used, [source, follower]) THEN taken ELSE list_append(taken, q.rk) END FROM mt JOIN mb q ON q.rk = mt.rk + 1 AND q.recording_id = mt.recording_id),
+tk AS (SELECT recording_id, unnest(arg_max(taken, rk)) AS rk FROM mt GROUP BY 1),
+rp AS (SELECT recording_id, median(ms) AS delay_ms, max(ms) - min(ms) AS spread_ms, count(*) AS n_pairs, median(level / greatest(source_level, 1e-30::DOUBLE)) AS ratio,
+  list(source ORDER BY source, follower) AS sources, list(follower ORDER BY source, follower) AS followers FROM mb JOIN tk USING (recording_id, rk) GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {REFLECTION_SQL} SELECT recording_id, {r("delay_ms", "delay_ms")}, {r("spread_ms", "spread_ms")}, n_pairs,
+ {r("-20 * log10(greatest(ratio, 1e-30::DOUBLE))", "drop_dB")}, {r("delay_ms / 1000 * 343", "path_m")}, sources, followers
+FROM rp WHERE n_pairs >= 2 AND (SELECT count(*) FROM ev WHERE ev.recording_id = rp.recording_id) >= 4""")
 def reflection_pattern(spark, sf):
     env = envelope(spark, sf)
     events = accepted(env, thresholds(env)).select("recording_id", "idx", F.col("height").alias("level"))
