@@ -14,8 +14,8 @@ line, by doc_id and place, has at least `percent` of their union in common; line
 Native: DataFrame functions only. Tokens are 56-bit hashes below 8 bits of rarity.
 
 Defined cases: lines without a word stay; NULL and empty texts have none and come back as they are; rows that repeat a
-doc_id are the same document for ordering and lose the same lines where their texts are the same, a line of the second
-row being a repeat of the first's; a NULL doc_id sorts first; an empty table gives an empty result; other columns stay.
+doc_id with the same text are the same document and lose the same lines; rows that share a doc_id but not the text are
+documents of their own, ordered by a hash of the text (`mark`, part of every place); a NULL doc_id sorts first; an empty table gives an empty result; other columns stay.
 """
 
 from __future__ import annotations
@@ -69,11 +69,12 @@ def _need(n: Column, percent: int) -> Column:
 
 def line_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """`docs` with `text` without the repeated lines, `n_lines` and `removed_lines` (their places, from 0)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.col("line").rlike(WORD))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
+        "mark", F.xxhash64("text"))
+    lines = texts.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.col("line").rlike(WORD))
     rarity = _rarity(lines, width)
     # Which line is the first of its class; repeats of it need no further work.
-    place = F.struct("doc_id", "at")
+    place = F.struct("doc_id", "mark", "at")
     tokens = _tokens(F.col("line"), width, rarity)
     prefix = let(tokens, lambda t: F.struct(F.size(t).alias("n"), F.slice(
         t, 1, F.greatest(F.size(t) - _need(F.size(t), percent) + 1, F.lit(1))).alias("prefix")))
@@ -99,10 +100,11 @@ def line_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     busy = pairs.select("place").unionByName(pairs.select(F.col("other").alias("place"))).unionByName(
         listed.where("lines > 2").select("place")).distinct()
     busy = stored(busy, "busy")
-    wanted = busy.groupBy(F.col("place.doc_id").alias("of")).agg(F.collect_set("place.at").alias("wanted"))
-    held = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["of"])).select(
-        "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"), "wanted").where(F.array_contains("wanted", F.col("at")))
-    held = stored(held.select(F.struct("doc_id", "at").alias("place"), _tokens(F.col("line"), width, rarity).alias("tokens"))
+    wanted = busy.groupBy(F.col("place.doc_id").alias("of"), F.col("place.mark").alias("by")).agg(
+        F.collect_set("place.at").alias("wanted"))
+    held = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["of"]) & (texts["mark"] == wanted["by"])).select(
+        "doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"), "wanted").where(F.array_contains("wanted", F.col("at")))
+    held = stored(held.select(place.alias("place"), _tokens(F.col("line"), width, rarity).alias("tokens"))
                   .groupBy("place").agg(F.first("tokens").alias("tokens")), "tokens")
 
     def alike(x: Column, y: Column) -> Column:
@@ -126,15 +128,16 @@ def line_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     gone = matched.unionByName(more).withColumn("gone", F.lit(True))
     verdicts = classes.select("k1", "k2", "place").join(gone, "place", "left").select(
         "k1", "k2", F.col("place").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    removed = stored(lines.select("doc_id", "at", _named(F.col("line"), 1).alias("k1"), _named(F.col("line"), 2).alias("k2"))
-               .join(verdicts, ["k1", "k2"]).where(F.col("gone") | (F.struct("doc_id", "at") > F.col("first")))
-               .groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_set("at")).alias("removed_lines")), "removed")
+    removed = stored(lines.select("doc_id", "mark", "at", _named(F.col("line"), 1).alias("k1"), _named(F.col("line"), 2).alias("k2"))
+               .join(verdicts, ["k1", "k2"]).where(F.col("gone") | (place > F.col("first")))
+               .groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("by")).agg(F.sort_array(F.collect_set("at")).alias("removed_lines")), "removed")
     return _cut(docs, removed)
 
 
 def _cut(docs: DataFrame, removed: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("text", "n_lines", "removed_lines")]
-    out = docs.join(removed, docs["doc_id"].cast("long").eqNullSafe(removed["of"]), "left")
+    mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    out = docs.join(removed, docs["doc_id"].cast("long").eqNullSafe(removed["of"]) & (mark == removed["by"]), "left")
     found = removed["removed_lines"]
     left = let(found, lambda gone: F.array_join(F.filter(
         F.split(docs["text"], "\n", -1), lambda line, i: ~F.array_contains(gone, i)), "\n"))

@@ -234,6 +234,11 @@ def test_similar_lines_of_a_large_group(spark):
 
 def test_line_dedup_rows(repeated, empty):
     assert line_dedup.line_dedup(repeated).count() == 7
+    # Rows that share an id but not the text keep what nothing repeats.
+    a, b = prose(41, 30), prose(42, 30)
+    rows = [(1, a), (2, a + "\nzz"), (2, b + "\nyy"), (2, b + "\nyy")]
+    got = [r.text for r in line_dedup.line_dedup(repeated.sparkSession.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted([a, "zz", b + "\nyy", b + "\nyy"])
     assert line_dedup.line_dedup(empty).count() == 0
 
 
@@ -505,7 +510,7 @@ def test_pipeline_against_single_operators(spark):
     kept = [r for r in rows if not statistics(r[1])[5]]
     names = {}
     for name, stage in corpus_pipeline.STAGES:
-        docs = stored(stage(spark, docs, ""), name)
+        docs = stored(stage(spark, docs, "/root/testdata/sf0.001"), name)
         names[name] = docs.collect()
     assert {r.doc_id for r in names["quality_rules"]} == {r[0] for r in kept}
     gone = removed_lines([r[:2] for r in kept])
@@ -517,6 +522,7 @@ def test_pipeline_against_single_operators(spark):
     held = pieces.Pieces(PIECES)
     assert len(names["sentencepiece"]) == len(names["mixing"])
     assert all(held.decode(r.ids) == texts[r.doc_id] for r in names["sentencepiece"])
+    assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in names["sentencepiece"])
     assert list(corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame([], SCHEMA), "").columns) == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
