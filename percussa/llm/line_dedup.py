@@ -15,7 +15,8 @@ Native: DataFrame functions only. Tokens are 56-bit hashes below 8 bits of rarit
 
 Defined cases: lines without a word stay; NULL and empty texts have none and come back as they are; rows that repeat a
 doc_id with the same text are the same document and lose the same lines; rows that share a doc_id but not the text are
-documents of their own, ordered by a hash of the text (`mark`, part of every place); a NULL doc_id sorts first; an empty table gives an empty result; other columns stay.
+documents of their own, ordered by a hash of the text (32 bits above the line's number; nothing for ids with one text);
+a NULL doc_id sorts first; an empty table gives an empty result; other columns stay.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from percussa.llm.common import WORD, let, stored, words
 
 CELLS = 1 << 14
+# No text has more lines.
+LINES = 1 << 31
 
 
 def _shingles(line: Column, width: int) -> Column:
@@ -69,12 +72,14 @@ def _need(n: Column, percent: int) -> Column:
 
 def line_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """`docs` with `text` without the repeated lines, `n_lines` and `removed_lines` (their places, from 0)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "mark", F.xxhash64("text"))
-    lines = texts.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.col("line").rlike(WORD))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    several_texts = _several_texts(texts)
+    texts = _marked(texts, several_texts)
+    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"), "mark").select(
+        "doc_id", (F.col("mark") + F.col("at")).alias("at"), "line").where(F.col("line").rlike(WORD))
     rarity = _rarity(lines, width)
     # Which line is the first of its class; repeats of it need no further work.
-    place = F.struct("doc_id", "mark", "at")
+    place = F.struct("doc_id", "at")
     tokens = _tokens(F.col("line"), width, rarity)
     prefix = let(tokens, lambda t: F.struct(F.size(t).alias("n"), F.slice(
         t, 1, F.greatest(F.size(t) - _need(F.size(t), percent) + 1, F.lit(1))).alias("prefix")))
@@ -100,10 +105,10 @@ def line_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     busy = pairs.select("place").unionByName(pairs.select(F.col("other").alias("place"))).unionByName(
         listed.where("lines > 2").select("place")).distinct()
     busy = stored(busy, "busy")
-    wanted = busy.groupBy(F.col("place.doc_id").alias("of"), F.col("place.mark").alias("by")).agg(
-        F.collect_set("place.at").alias("wanted"))
-    held = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["of"]) & (texts["mark"] == wanted["by"])).select(
-        "doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"), "wanted").where(F.array_contains("wanted", F.col("at")))
+    wanted = busy.groupBy(F.col("place.doc_id").alias("of")).agg(F.collect_set("place.at").alias("wanted"))
+    held = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["of"])).select(
+        "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"), "mark", "wanted").select(
+        "doc_id", (F.col("mark") + F.col("at")).alias("at"), "line", "wanted").where(F.array_contains("wanted", F.col("at")))
     held = stored(held.select(place.alias("place"), _tokens(F.col("line"), width, rarity).alias("tokens"))
                   .groupBy("place").agg(F.first("tokens").alias("tokens")), "tokens")
 
@@ -128,16 +133,38 @@ def line_dedup(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     gone = matched.unionByName(more).withColumn("gone", F.lit(True))
     verdicts = classes.select("k1", "k2", "place").join(gone, "place", "left").select(
         "k1", "k2", F.col("place").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    removed = stored(lines.select("doc_id", "mark", "at", _named(F.col("line"), 1).alias("k1"), _named(F.col("line"), 2).alias("k2"))
+    removed = stored(lines.select("doc_id", "at", _named(F.col("line"), 1).alias("k1"), _named(F.col("line"), 2).alias("k2"))
                .join(verdicts, ["k1", "k2"]).where(F.col("gone") | (place > F.col("first")))
-               .groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("by")).agg(F.sort_array(F.collect_set("at")).alias("removed_lines")), "removed")
-    return _cut(docs, removed)
+               .groupBy(F.col("doc_id").alias("of"), F.shiftrightunsigned("at", 31).alias("by")).agg(
+                   F.sort_array(F.collect_set((F.col("at") % LINES).cast("int"))).alias("removed_lines")), "removed")
+    return _cut(docs, removed, several_texts)
 
 
-def _cut(docs: DataFrame, removed: DataFrame) -> DataFrame:
+def _several_texts(texts: DataFrame) -> DataFrame:
+    """Ids that stand for more than one text."""
+    mark = F.xxhash64("text")
+    ids = texts.groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low < high")
+    return stored(ids.select(F.col("doc_id").alias("several")), "several")
+
+
+def _number(text: Column, several: Column) -> Column:
+    """0, or for ids with several texts 32 bits of a hash of the text."""
+    return F.when(several.isNotNull(), F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 32)).otherwise(F.lit(0).cast("long"))
+
+
+def _marked(texts: DataFrame, several: DataFrame) -> DataFrame:
+    """Texts with `mark`, which is added to the numbers of their lines."""
+    met = several.select("several", F.lit(True).alias("shared"))
+    out = texts.join(met, texts["doc_id"].eqNullSafe(met["several"]), "left")
+    return out.select("doc_id", "text", (_number(F.col("text"), F.col("shared")) * LINES).alias("mark"))
+
+
+def _cut(docs: DataFrame, removed: DataFrame, several: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("text", "n_lines", "removed_lines")]
-    mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    out = docs.join(removed, docs["doc_id"].cast("long").eqNullSafe(removed["of"]) & (mark == removed["by"]), "left")
+    met = several.select("several", F.lit(True).alias("shared"))
+    key = docs["doc_id"].cast("long")
+    told = docs.join(met, key.eqNullSafe(met["several"]), "left")
+    out = told.join(removed, key.eqNullSafe(removed["of"]) & (_number(docs["text"], met["shared"]) == removed["by"]), "left")
     found = removed["removed_lines"]
     left = let(found, lambda gone: F.array_join(F.filter(
         F.split(docs["text"], "\n", -1), lambda line, i: ~F.array_contains(gone, i)), "\n"))
